@@ -1,4 +1,4 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL, gathered from the modules beside this one."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegrain.plans import basic, composite, rules_queries, text_queries, window_queries
+
+MODULES = (window_queries, basic, text_queries, rules_queries, composite)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return window_queries.latest_status(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
