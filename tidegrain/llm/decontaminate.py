@@ -166,13 +166,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pas
     need(docs, "text")
     small_batches(docs.sparkSession)
     for index in _indexes(benchmark, least, pass_chars):
+        docs = docs.filter(~_leaks(index)("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, index=index) -> pd.Series:
-            return texts.map(lambda t: bool(t) and bool(index.value.matches(t))).astype(bool)
 
-        docs = docs.filter(~leaks("text"))
-    return docs
+def _leaks(index):
+    """Whether a text has an item of a broadcast index, as a function of columns."""
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and bool(index.value.matches(t))).astype(bool)
+
+    return leaks
 
 
 def _indexes(benchmark: DataFrame, least: float, pass_chars: int) -> list:

@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.llm.common import need, small_batches, stored
+from tidegrain.llm.common import forget, need, small_batches, stored
 from tidegrain.llm.substring import run_hashes
 
 WORDS = 4
 PERCENT = 85
 ORDERS = 3
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Texts wanted at most for their keys to be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Buckets in which shingle frequencies are counted: the table is of this size for any input.
 FREQUENCY_BUCKETS = 1 << 17
 
@@ -72,11 +74,12 @@ def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """Rows of members (kind 0: a doc_id, b class, n set size) and of frequencies (kind 1: a bucket, b count)."""
+    """Rows of members (kind 0: a doc_id, b class, n set size, text_key) and of frequencies (kind 1: a bucket, b count)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
@@ -84,12 +87,12 @@ def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
             sets = [shingle_set(t, n) for t in b["text"]]
             for s in sets:
                 np.add.at(counts, (s & np.uint64(FREQUENCY_BUCKETS - 1)).astype(np.int64), 1)
-            yield pd.DataFrame({"kind": 0, "a": b["doc_id"], "b": [class_of(s) for s in sets], "n": [len(s) for s in sets]})
+            yield pd.DataFrame({"kind": 0, "a": b["doc_id"], "b": [class_of(s) for s in sets], "n": [len(s) for s in sets], "text_key": b["text_key"]})
         some = np.flatnonzero(counts)
         if len(some):
-            yield pd.DataFrame({"kind": 1, "a": some, "b": counts[some], "n": 0})
+            yield pd.DataFrame({"kind": 1, "a": some, "b": counts[some], "n": 0, "text_key": 0})
 
-    return _rows(docs).mapInPandas(run, "kind int, a long, b long, n long")
+    return _rows(docs).mapInPandas(run, "kind int, a long, b long, n long, text_key long")
 
 
 def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -111,15 +114,15 @@ def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                 sizes = [len(p) for p, _, _ in out]
                 yield pd.DataFrame({"token": np.concatenate([p for p, _, _ in out]), "c": np.repeat([c for _, c, _ in out], sizes), "n": np.repeat([k for _, _, k in out], sizes)})
 
-    return _rows(docs).mapInPandas(run, "token long, c long, n int")
+    return _rows(docs).select("text").mapInPandas(run, "token long, c long, n int")
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text of each wanted class (first_id: its smallest doc_id, null if it has none)."""
-    ids = wanted.select(F.col("first_id"), "c")
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
-    with_id = rows.join(ids.filter("first_id is not null"), F.col("own_id") == F.col("first_id")).select("c", "text")
-    return with_id
+def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """c and text of the wanted classes, found by the key of one of each class's texts."""
+    keys = stored(classes.join(wanted, "c", "left_semi").select("c", F.col("text_key").alias("key")))
+    small = keys.count() <= BROADCAST_KEYS
+    rows = _rows(docs).select("text_key", "text")
+    return rows.join(F.broadcast(keys) if small else keys, F.col("text_key") == F.col("key")).groupBy("c", "text_key").agg(F.first("text").alias("text")).select("c", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -138,11 +141,14 @@ def verified(pairs: DataFrame, texts: DataFrame, levels, n: int, percent: int) -
             links = []
             for hub, part, is_hub, c, text in zip(b["hub"].tolist(), b["part"].tolist(), b["is_hub"].tolist(), b["c"].tolist(), b["text"], strict=True):
                 s = shingle_set(text, n)
+                if class_of(s) != c:
+                    continue  # another text with the same key
                 if is_hub:
                     key, hub_set = (hub, part), s
                     hub_prefixes = [prefix(s, levels.value, o, percent) for o in range(1, ORDERS)]
                     continue
-                assert key == (hub, part), "a hub comes before its members"
+                if key != (hub, part):
+                    raise ValueError("a hub comes before its members")
                 if not all(len(np.intersect1d(hub_prefixes[o - 1], prefix(s, levels.value, o, percent), assume_unique=True)) for o in range(1, ORDERS)):
                     continue
                 common = len(np.intersect1d(hub_set, s, assume_unique=True))
@@ -189,14 +195,14 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     for r in seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toLocalIterator():
         counts[r["a"]] = r["b"]
     levels = spark.sparkContext.broadcast(_levels(counts))
-    members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n")
-    classes = members.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("first_id"))
+    members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "text_key")
+    classes = members.filter("n > 0").groupBy("c").agg(F.min("text_key").alias("text_key"))
 
-    by_token = tokens(docs, levels, n, percent).repartition("token")
+    by_token = stored(tokens(docs, levels, n, percent))
     dense = by_token.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token")
-    shared = stored(by_token.join(dense, "token").distinct())
+    shared = stored(by_token.join(dense, "token"))
+    forget(by_token)
     labels = stored(classes.join(shared.select("c").distinct(), "c", "left_semi").select("c", F.col("c").alias("comp")))
-    texts = stored(class_texts(docs, classes.join(shared.select("c").distinct(), "c", "left_semi")))
     links, done = None, None
     left = shared
     for k in range(HUB_ROUNDS + 1):
@@ -216,7 +222,10 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
         if done is not None:
             found = found.join(done, ["hub", "c"], "left_anti").join(done.select(F.col("hub").alias("c"), F.col("c").alias("hub")), ["hub", "c"], "left_anti")
         pairs = stored(found)
+        wanted = pairs.select("c").unionByName(pairs.select(F.col("hub").alias("c"))).distinct()
+        texts = stored(class_texts(docs, classes, wanted))
         new = stored(verified(pairs, texts, levels, n, percent))
+        forget(texts)
         done = pairs if done is None else done.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         labels = merged(labels, new)

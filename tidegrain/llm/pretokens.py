@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 #: A space amid white space, where a cut could part one run of white space.
 _NO_CUT = re.compile(r"\s \s")
 
-#: Entries that a worker keeps; beyond it, it starts anew.  Only speed depends on it.
+#: Entries of a generation; a worker keeps the one it fills and the one before.  Only speed depends on it.
 KEPT_CHUNKS = 400_000
 
 
@@ -30,22 +30,30 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def can_join(chunk: str) -> bool:
+    """Whether such chunks may stand one after the other and still encode each by itself."""
+    return len(chunk) > 1 and chunk[0] == " " and not chunk[1].isspace() and not chunk[-1].isspace()
+
+
 class ChunkCache:
     """Encodings by chunk, computed many at a time."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = KEPT_CHUNKS):
-        self.encode, self.limit, self.kept = encode, limit, {}
+        self.encode, self.limit, self.kept, self.before = encode, limit, {}, {}
 
     def lookup(self, texts: list[str]) -> tuple[list[list[str]], dict]:
         """The texts' chunks, and a dictionary that has all of them."""
         parts = [chunks(x) for x in texts]
         wanted = set().union(*parts)
-        new = [c for c in wanted if c not in self.kept]
-        if len(self.kept) + len(new) > self.limit:
-            self.kept, new = {}, list(wanted)
+        if len(self.kept) > self.limit:
+            self.kept, self.before = {}, self.kept
+        kept, before = self.kept, self.before
+        missing = [c for c in wanted if c not in kept]
+        kept.update((c, before[c]) for c in missing if c in before)
+        new = [c for c in missing if c not in before]
         fresh = dict(zip(new, self.encode(new), strict=True))
         long = {c: v for c, v in fresh.items() if len(c) > 64}
         for c in long:
             del fresh[c]
-        self.kept.update(fresh)
-        return parts, (self.kept | long if long else self.kept)
+        kept.update(fresh)
+        return parts, (kept | long if long else kept)

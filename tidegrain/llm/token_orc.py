@@ -21,13 +21,47 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegrain.llm.common import need, small_batches
-from tidegrain.llm.pretokens import ChunkCache
+from tidegrain.llm.pretokens import ChunkCache, can_join
 
 STORED = "doc_id long, row long, n_tokens long, ids array<int>"
 
+#: Chunks encoded as one text.
+JOINED = 500
+
 _loaded: dict[str, ChunkCache] = {}
 
 
+class Encoder:
+    """Ids (little-endian bytes) of chunks, those that can stand together in one call."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        # A byte-level piece has a character for each byte.
+        self.sizes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<i4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        fit = [i for i, t in enumerate(texts) if can_join(t)]
+        for a in range(0, len(fit), JOINED):
+            own = fit[a : a + JOINED]
+            (ids,) = self._ids(["".join([texts[i] for i in own])])
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(texts[i].encode()) for i in own])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and np.array_equal(ends[at], wanted):
+                data = ids.tobytes()
+                starts = [0, *(at + 1).tolist()]
+                for i, x, y in zip(own, starts, starts[1:], strict=False):
+                    out[i] = data[4 * x : 4 * y]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = ids.tobytes()
+        return out
+
+
 def _cache(path: str) -> ChunkCache:
     if path not in _loaded:
         tokenizer = Tokenizer.from_file(path)
@@ -35,10 +69,7 @@ def _cache(path: str) -> ChunkCache:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
-        def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<i4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _loaded[path] = ChunkCache(encode)
+        _loaded[path] = ChunkCache(Encoder(tokenizer))
     return _loaded[path]
 
 
@@ -66,15 +97,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
     """Write every whole text's ids to ORC files in ascending doc_id order.
 
     A null or empty text has the end id alone.  Rows with a null doc_id come
-    first; rows that share a doc_id are ordered by text.  An empty table
+    first; rows that share a doc_id are ordered by a hash of the text.  An empty table
     writes a file without rows.  Other columns are not read.
     """
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("tie"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     (
         encode_rows(ordered, tokenizer, end_id)
         .write.option("compression", "zstd")
