@@ -7,8 +7,12 @@ similarity share a token in their prefixes under every order, so a pair found
 under the first order must also meet in the prefixes of the others before its
 sets are compared exactly.
 
+A pair must also be able to reach the similarity with the tokens that follow
+the first one it shares, on both sides; copies with edits of their own have
+those, which are rare, in front.
+
 Large groups of near copies are not expanded into pairs.  In each round, a
-token's classes are held against one of them (the hub), verified links merge
+token's classes are held against the one that has it first, verified links merge
 components, and tokens whose classes are all in one component are done.  After
 the hub rounds, every pair of classes that still shares a token across
 components is compared, so no link between components is lost.
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrain.llm.common import forget, need, small_batches, stored
@@ -31,8 +35,10 @@ WORDS = 4
 PERCENT = 85
 ORDERS = 3
 HUB_ROUNDS = 2
-#: Texts wanted at most for their keys to be broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Rows to fetch at most for their keys to be broadcast; more are joined by a shuffle.
+BROADCAST_ROLES = 500_000
+#: Members that one task compares with a hub.
+HUB_MEMBERS = 200
 #: Buckets in which shingle frequencies are counted: the table is of this size for any input.
 FREQUENCY_BUCKETS = 1 << 17
 
@@ -56,9 +62,9 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency level of each bucket: 0 up to 1.5 times the mean, then one more for each doubling."""
-    mean = max(counts.mean(), 1e-9)
-    return np.where(counts <= 1.5 * mean, 0, np.ceil(np.log2(np.maximum(counts / mean, 1)))).astype(np.uint64)
+    """Frequency level of each bucket: 0 up to 1.1 times the mean, then four for each doubling."""
+    ratio = counts / max(counts.mean(), 1e-9)
+    return np.where(ratio <= 1.1, 0, np.clip(np.ceil(4 * np.log2(np.maximum(ratio, 1))), 1, 63)).astype(np.uint64)
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
@@ -69,8 +75,9 @@ def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT
     x ^= x >> np.uint64(29)
     key = (levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)] << np.uint64(58)) | (x >> np.uint64(6))
     if size >= n:
-        return s
-    return s[np.argpartition(key, size - 1)[:size]]
+        return s[np.argsort(key, kind="stable")]
+    first = np.argpartition(key, size - 1)[:size]
+    return s[first[np.argsort(key[first], kind="stable")]]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -96,7 +103,7 @@ def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """token, class and set size for the first order's prefix of each class."""
+    """token, its place, class and set size for the first order's prefix of each class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -112,28 +119,24 @@ def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                 seen.clear()
             if out:
                 sizes = [len(p) for p, _, _ in out]
-                yield pd.DataFrame({"token": np.concatenate([p for p, _, _ in out]), "c": np.repeat([c for _, c, _ in out], sizes), "n": np.repeat([k for _, _, k in out], sizes)})
-
-    return _rows(docs).select("text").mapInPandas(run, "token long, c long, n int")
+                yield pd.DataFrame({"token": np.concatenate([p for p, _, _ in out]), "pos": np.concatenate([np.arange(k) for k in sizes]), "c": np.repeat([c for _, c, _ in out], sizes), "n": np.repeat([k for _, _, k in out], sizes)})
 
+    return _rows(docs).select("text").mapInPandas(run, "token long, pos int, c long, n int")
 
-def class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c and text of the wanted classes, found by the key of one of each class's texts."""
-    keys = stored(classes.join(wanted, "c", "left_semi").select("c", F.col("text_key").alias("key")))
-    small = keys.count() <= BROADCAST_KEYS
-    rows = _rows(docs).select("text_key", "text")
-    return rows.join(F.broadcast(keys) if small else keys, F.col("text_key") == F.col("key")).groupBy("c", "text_key").agg(F.first("text").alias("text")).select("c", "text")
 
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """The pairs (hub, c) whose sets meet in the prefixes of the other orders and then have the similarity.
 
-def verified(pairs: DataFrame, texts: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """The pairs (hub, c) whose sets meet in the prefixes of the other orders and then have the similarity."""
-    members = pairs.join(texts, "c").select("hub", "c", "text", F.lit(False).alias("is_hub"))
-    hubs = pairs.select("hub").distinct().join(texts.withColumnRenamed("c", "hub"), "hub")
-    # A hub of many members is sent to as many groups as its members fill.
-    load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 200).cast("int").alias("parts"))
-    split = members.join(load, "hub").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
-    copies = hubs.join(load, "hub").select("hub", F.col("hub").alias("c"), "text", F.lit(True).alias("is_hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = split.select("hub", "part", "is_hub", "c", "text").unionByName(copies.select("hub", "part", "is_hub", "c", "text"))
+    A class is read from one of its rows in docs.  The rows that pairs need
+    are sent once to each group of a hub and up to HUB_MEMBERS members.
+    """
+    load = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part"), F.lit(False).alias("is_hub"), "c")
+    hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"), F.col("hub").alias("c"))
+    roles = stored(members.unionByName(hubs).join(classes, "c").withColumnRenamed("text_key", "key"))
+    rows = _rows(docs).select("text_key", F.coalesce("doc_id", F.lit(-1)).alias("own_id"), "text")
+    few = roles.count() <= BROADCAST_ROLES
+    both = rows.join(F.broadcast(roles) if few else roles, (F.col("text_key") == F.col("key")) & (F.col("own_id") == F.col("first_id"))).select("hub", "part", "is_hub", "c", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, hub_set, hub_prefixes = None, None, []
@@ -174,8 +177,15 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = stored(labels.join(jumped, F.col("comp") == F.col("x"), "left").select("c", F.coalesce("to", "comp").alias("comp")))
 
 
-def _compatible(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _may_link(percent: int) -> Column:
+    """Whether two sets can be similar if a token at these places is the first they share.
+
+    Their sizes must fit, and no more tokens can be common than follow the
+    first one on either side.
+    """
+    n, m = F.col("n"), F.col("hub_n")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * F.least(n - F.col("pos"), m - F.col("hub_pos")) >= percent * (n + m))
 
 
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -196,7 +206,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
         counts[r["a"]] = r["b"]
     levels = spark.sparkContext.broadcast(_levels(counts))
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "text_key")
-    classes = members.filter("n > 0").groupBy("c").agg(F.min("text_key").alias("text_key"))
+    classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("text_key", F.coalesce("doc_id", F.lit(-1)).alias("first_id"))).alias("one")).select("c", "one.*")
 
     by_token = stored(tokens(docs, levels, n, percent))
     dense = by_token.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token")
@@ -207,25 +217,22 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     left = shared
     for k in range(HUB_ROUNDS + 1):
         open_ = left.join(labels, "c")
-        mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("h"), F.col("c").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("first")).filter("low != high")
-        open_ = stored(open_.join(mixed.select("token", "first.hub", "first.hub_n", "first.hub_comp"), "token"))
-        left = open_.select("token", "c", "n")
+        mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.col("pos").alias("hub_pos"), F.xxhash64("c", F.lit(k)).alias("h"), F.col("c").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("first")).filter("low != high")
+        open_ = stored(open_.join(mixed.select("token", "first.hub", "first.hub_pos", "first.hub_n", "first.hub_comp"), "token"))
+        left = open_.select("token", "pos", "c", "n")
         if open_.isEmpty():
             break
         if k < HUB_ROUNDS:
-            found = open_.filter((F.col("comp") != F.col("hub_comp")) & _compatible("n", "hub_n", percent)).select("hub", "c")
+            found = open_.filter((F.col("comp") != F.col("hub_comp")) & _may_link(percent)).select("hub", "c")
         else:
-            one = open_.select("token", F.col("c").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-            two = open_.select("token", "c", "n", "comp")
-            found = two.join(one, "token").filter((F.col("c") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & _compatible("n", "hub_n", percent)).select("hub", "c")
+            one = open_.select("token", F.col("pos").alias("hub_pos"), F.col("c").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+            two = open_.select("token", "pos", "c", "n", "comp")
+            found = two.join(one, "token").filter((F.col("c") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & _may_link(percent)).select("hub", "c")
         found = found.distinct()
         if done is not None:
             found = found.join(done, ["hub", "c"], "left_anti").join(done.select(F.col("hub").alias("c"), F.col("c").alias("hub")), ["hub", "c"], "left_anti")
         pairs = stored(found)
-        wanted = pairs.select("c").unionByName(pairs.select(F.col("hub").alias("c"))).distinct()
-        texts = stored(class_texts(docs, classes, wanted))
-        new = stored(verified(pairs, texts, levels, n, percent))
-        forget(texts)
+        new = stored(verified(docs, classes, pairs, levels, n, percent))
         done = pairs if done is None else done.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         labels = merged(labels, new)
