@@ -40,7 +40,7 @@ BROADCAST_ROLES = 500_000
 #: Members that one task compares with a hub.
 HUB_MEMBERS = 200
 #: Buckets in which shingle frequencies are counted: the table is of this size for any input.
-FREQUENCY_BUCKETS = 1 << 17
+FREQUENCY_BUCKETS = 1 << 20
 
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -64,7 +64,7 @@ def class_of(s: np.ndarray) -> int:
 def _levels(counts: np.ndarray) -> np.ndarray:
     """Frequency level of each bucket: 0 up to 1.1 times the mean, then four for each doubling."""
     ratio = counts / max(counts.mean(), 1e-9)
-    return np.where(ratio <= 1.1, 0, np.clip(np.ceil(4 * np.log2(np.maximum(ratio, 1))), 1, 63)).astype(np.uint64)
+    return np.where(ratio <= 1.1, 0, np.clip(np.ceil(4 * np.log2(np.maximum(ratio, 1))), 1, 63)).astype(np.uint8)
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
@@ -73,7 +73,7 @@ def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT
     size = n - (n * percent + 99) // 100 + 1
     x = (s ^ (s >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * order * 0x632BE59BD9B4E01 & (1 << 64) - 1)
     x ^= x >> np.uint64(29)
-    key = (levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)] << np.uint64(58)) | (x >> np.uint64(6))
+    key = (levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (x >> np.uint64(6))
     if size >= n:
         return s[np.argsort(key, kind="stable")]
     first = np.argpartition(key, size - 1)[:size]
@@ -94,6 +94,7 @@ def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
             sets = [shingle_set(t, n) for t in b["text"]]
             for s in sets:
                 np.add.at(counts, (s & np.uint64(FREQUENCY_BUCKETS - 1)).astype(np.int64), 1)
+            # Sets go as they come; the counts once, at the end of the task.
             yield pd.DataFrame({"kind": 0, "a": b["doc_id"], "b": [class_of(s) for s in sets], "n": [len(s) for s in sets], "text_key": b["text_key"]})
         some = np.flatnonzero(counts)
         if len(some):
@@ -202,8 +203,8 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     small_batches(spark)
     seen = stored(survey(docs, n))
     counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    for r in seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toLocalIterator():
-        counts[r["a"]] = r["b"]
+    table = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
+    counts[table.column("a").to_numpy()] = table.column("b").to_numpy()
     levels = spark.sparkContext.broadcast(_levels(counts))
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "text_key")
     classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("text_key", F.coalesce("doc_id", F.lit(-1)).alias("first_id"))).alias("one")).select("c", "one.*")
