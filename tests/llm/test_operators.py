@@ -168,6 +168,21 @@ def test_pii_tables(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_pii_iban_before_other_words(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    for after in ("", " BIC COBADEFFXXX", " 2024", " A", ", X", f" {gb}", f" {no} 12", " AB12", "\nX", "é", " Bank"):
+        for iban in (de, de.replace(" ", ""), gb, no):
+            text = f"IBAN {iban}{after}"
+            assert (5, 5 + len(iban)) in pii.ibans(text), text
+    assert [f"{de} {gb} {no} 1"[a:b] for a, b in pii.ibans(f"{de} {gb} {no} 1")] == [de, gb, no]
+    assert pii.ibans(f"AB12 CDEF {de} BIC") == [(10, 10 + len(de))]
+    assert pii.ibans("DE89370400440532013000X") == pii.ibans("xDE89370400440532013000") == pii.ibans("DE89370400440532013000b 1") == []
+    assert pii.ibans("AA11 " * 40_000) is not None
+    docs = docs_of(spark, [(1, f"{de} BIC COBADEFFXXX"), (2, f"{de} 2024"), (3, f"{de} {gb}")])
+    assert {r.doc_id: r.spans for r in pii.digests(docs).collect()} == {1: "iban:0:27", 2: "iban:0:27", 3: "iban:0:27,iban:28:55"}
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "[IBAN] BIC COBADEFFXXX", 2: "[IBAN] 2024", 3: "[IBAN] [IBAN]"}
+
+
 def test_decontamination(spark):
     r, words = random.Random(9), vocabulary(4, 900)
     item = " ".join(r.choice(words) for _ in range(40)).capitalize() + "."

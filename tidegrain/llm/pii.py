@@ -26,9 +26,22 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _ANY_DIGIT = re.compile("[0-9]").search
 
+# Characters of an IBAN by country, from the registry of ISO 13616.
+IBAN_SIZES = {
+    code: size
+    for size, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 #: Score of a confirmed span, and what a context word adds to it or a counter word takes.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8}
 CONTEXT_GAIN = 0.2
@@ -98,7 +111,24 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    """Spans from a country code to the end of a word that pass mod-97.
+
+    The country's length is tried first, then every other end, longest first;
+    what follows an IBAN may itself look like a part of it.
+    """
+    out, last = [], 0
+    for m in _IBAN.finditer(text):
+        rest = _IBAN_REST.match(text, m.end()) if m.start() >= last else None
+        if not rest:
+            continue
+        ends = [(e.end(), text[m.start() : e.end()].replace(" ", "")) for e in _IBAN_END.finditer(text, m.end(), rest.end() + 1) if e.end() <= rest.end()]
+        usual = IBAN_SIZES.get(m[0][:2])
+        ends.sort(key=lambda x: (len(x[1]) != usual, -len(x[1])))
+        end = next((e for e, iban in ends if mod97(iban)), None)
+        if end:
+            out.append((m.start(), end))
+            last = end
+    return out
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
