@@ -305,6 +305,27 @@ def test_html_layout():
     assert v("a &amp; &lt;b&gt; &nbsp;c") == "a & <b>  c"
 
 
+def test_html_controls_drawings_and_open_head():
+    v = html_text.visible_text
+    assert v("<p>a<textarea>\n b &amp; <b>c</b>\nd</textarea>e") == "a  b & <b>c</b>\nd e"
+    assert v("<textarea placeholder=Note></textarea>") == "Note" and v("x<textarea>y") == "x y"
+    assert v("<select><option>a<option selected>b  c<option>d</select>") == "b c"
+    assert v("<select><option disabled>a<optgroup label=g><option label=L>b</select>z") == "L z"
+    assert v("x<select multiple><option>a<optgroup label=g><option>b<optgroup label=h><option hidden>c</select>y") == "x\na\ng\nb\nh\ny"
+    assert v("<input value=q><input type=submit value=Send><input placeholder=Name><input type=hidden value=h><input type=password value=p><input type=checkbox value=c>") == "q Send Name"
+    assert v("<svg><title>t</title><defs><text>no</text></defs><rect/>x<g><text x=1>One <tspan>two</tspan></text></g><text/><text>three</text></svg> end") == "One two three end"
+    assert v("<svg><g display=none><text>a</text></g><g visibility=hidden><text>b</text></g><foreignObject><p>c</p></foreignObject></svg>") == "c"
+    assert v("<svg><g>lost<p>para") == "para" and v("a<svg/>b<p>c") == "ab\n\nc"
+    assert v("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>") == "x=1"
+    assert v("<object data=x><param name=a>shown <em>here</em></object>") == "shown here"
+    for tag in ("em", "i", "strong", "button", "label", "svg", "font"):
+        assert v(f"<head><title>t</title>Hello <{tag}>") == "Hello", tag
+        assert v(f"<head><meta a=b><title>t</title><{tag}></{tag}>x") == "x", tag
+    assert v("<head><title>t</title>Hello <em>x</em>") == "Hello x"
+    assert v("<head> <noscript>a <em>b</em> c</noscript><style>s</style> <title>t <em>u</em> v</title></head><body>x") == "x"
+    assert v("<script>a</script><style>b</style><template>c</template><datalist><option>d</datalist><audio>e</audio><iframe>f</iframe>") == ""
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", 1), (2, None, None, 1), (1, "u", "<p>a", 1)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]

@@ -4,13 +4,16 @@ A small tree builder closes tags that HTML implies closed, then a renderer
 walks the tree: hidden parts are skipped, blocks stand on lines of their own,
 paragraph-like blocks are parted by an empty line, list items get bullets or
 numbers and indentation, preformatted text keeps its space, and table cells
-are padded so that columns line up.  Neither recurses.
+are padded so that columns line up.  Form controls show their values, closed
+selects the chosen option, drawings their text elements, and objects, which
+are never loaded, their fallback.  Neither recurses.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,7 +24,18 @@ from tidegrain.llm.common import need, small_batches
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript head title meta link base iframe object svg math canvas audio video select datalist textarea".split())
+UNSEEN = frozenset("script style template noscript head title meta link base iframe canvas audio video datalist annotation annotation-xml mphantom".split())
+#: Inputs that show no text, and those that show their value but never a placeholder.
+TEXTLESS_INPUTS = frozenset("hidden password checkbox radio file color range image".split())
+PLAIN_INPUTS = frozenset("submit reset button date month week time datetime-local".split())
+#: What may stand in the head.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Where HTML stands again inside a drawing or a formula, and tags that end both elsewhere.
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN = frozenset({"svg", "math"})
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd".split())
@@ -46,10 +60,13 @@ class Node:
 class TreeBuilder(HTMLParser):
     """Nodes and strings below ``root``."""
 
+    CDATA_CONTENT_ELEMENTS = (*HTMLParser.CDATA_CONTENT_ELEMENTS, "textarea")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.in_head = self.any_foreign = False
 
     def _close(self, tags: frozenset, limits: frozenset) -> None:
         """Close the nearest open element of tags, unless one of limits is nearer."""
@@ -63,6 +80,7 @@ class TreeBuilder(HTMLParser):
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self._last = node
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
@@ -71,9 +89,13 @@ class TreeBuilder(HTMLParser):
         if tag == "html":
             self.root.attrs |= {k: v for k, v in attrs.items() if k not in self.root.attrs}
             return
-        if tag == "body" or tag in BLOCK and tag != "summary" or tag in ("a", "span", "b", "img"):
+        if tag not in HEAD and self.in_head:
             # What cannot stand in the head ends it.
-            self._close(frozenset({"head"}), frozenset({"body", "table", "template"}))
+            self._close(frozenset({"head"}), frozenset({"body", "table", "template", "noscript", "title"}) if tag != "body" else frozenset({"table", "template"}))
+            self.in_head = any(n.tag == "head" for n in self.open)
+        if tag in BREAKOUT and self._foreign():
+            while self._foreign():
+                self.open.pop()
         if tag in CLOSES_P:
             self._close(frozenset({"p"}), SCOPE)
         if tag == "li":
@@ -92,13 +114,27 @@ class TreeBuilder(HTMLParser):
             self._close(frozenset({"tbody", "thead", "tfoot", "caption", "colgroup"}), frozenset({"table"}))
         elif tag in ("option", "optgroup"):
             self._close(frozenset({"option"}), frozenset({"select"}))
+            if tag == "optgroup":
+                self._close(frozenset({"optgroup"}), frozenset({"select"}))
+        self.in_head = self.in_head or tag == "head"
+        self.any_foreign = self.any_foreign or tag in FOREIGN
         self._push(tag, attrs)
 
     def _nearest(self, *tags: str) -> str | None:
         return next((n.tag for n in reversed(self.open) if n.tag in tags), None)
 
+    def _foreign(self) -> bool:
+        """Whether markup stands in a drawing or a formula."""
+        if not self.any_foreign:
+            return False
+        return next((n.tag in FOREIGN for n in reversed(self.open) if n.tag in FOREIGN or n.tag in INTEGRATION), False)
+
     def handle_startendtag(self, tag, attrs):
+        # The slash closes only what is foreign to HTML.
+        closes = tag in FOREIGN or self._foreign() and tag not in BREAKOUT
         self.handle_starttag(tag, attrs)
+        if closes and self.open[-1] is self._last:
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
@@ -110,8 +146,17 @@ class TreeBuilder(HTMLParser):
         self._close(frozenset({tag}), limits)
 
     def handle_data(self, data):
+        if self.cdata_elem == "textarea":
+            data = unescape(data)
+        elif self.open[-1].tag == "head" and data.strip():
+            self.open.pop()
         self.open[-1].children.append(data)
 
+    def close(self):
+        super().close()
+        if self.cdata_elem == "textarea":
+            self.handle_data(self.rawdata)  # never closed
+
 
 class Flow:
     """Lines of one block formatting context: the page or a table cell."""
@@ -197,7 +242,60 @@ def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
 
 def _hidden(node: Node) -> bool:
     a = node.attrs
-    return node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" or bool(_NONE.search(a.get("style", "")))
+    return node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or bool(_NONE.search(a.get("style", "")))
+
+
+def _strings(node: Node) -> str:
+    """All text below a node that is not hidden."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is node or not _hidden(x):
+            stack.extend(reversed(x.children))
+    return "".join(out)
+
+
+def _input_text(node: Node) -> str:
+    """What an input shows: its value, else the placeholder."""
+    kind = node.attrs.get("type", "").strip().lower()
+    if kind in TEXTLESS_INPUTS:
+        return ""
+    return node.attrs.get("value", "") or ("" if kind in PLAIN_INPUTS else node.attrs.get("placeholder", ""))
+
+
+def _textarea_text(node: Node) -> str:
+    """What a text area shows: its text without a first line break, else the placeholder."""
+    value = _strings(node).replace("\r\n", "\n").removeprefix("\n")
+    return value or node.attrs.get("placeholder", "")
+
+
+def _select_lines(node: Node) -> list[str]:
+    """What a select shows: the chosen option, or every option and group label of a list box."""
+    several = "multiple" in node.attrs
+    box = several or _number(node.attrs.get("size", ""), 1, 10**8) > 1
+    lines, first, chosen = [], None, None
+    stack = [(node, False, True)]
+    while stack:
+        x, off, drawn = stack.pop()
+        if isinstance(x, str):
+            continue
+        drawn = drawn and (x is node or not _hidden(x))
+        if x.tag == "option":
+            label = x.attrs.get("label") or " ".join(_SPACE.split(_strings(x))).strip()
+            if drawn:
+                lines.append(label)
+            if first is None and not off and "disabled" not in x.attrs:
+                first = label
+            if "selected" in x.attrs:
+                chosen = label
+            continue
+        if x.tag == "optgroup" and drawn:
+            lines.append(x.attrs.get("label", ""))
+        stack.extend((c, off or x.tag == "optgroup" and "disabled" in x.attrs, drawn) for c in reversed(x.children))
+    shown = lines if box else [first if chosen is None else chosen]
+    return [x for x in shown if x]
 
 
 def _number(value: str, default: int, most: int) -> int:
@@ -208,11 +306,14 @@ def render(root: Node) -> str:
     """Visible text of a tree."""
     page = Flow()
     flows, tables, lists = [page], [], []
-    stack = [(root, False, True, False)]
+    # Of a drawing, only text elements and foreign objects show their strings.
+    stack = [(root, False, True, False, False)]
     while stack:
-        node, leaving, shown, pre = stack.pop()
+        node, leaving, shown, pre, drawing = stack.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if drawing:
+                continue
             if shown:
                 flow.text(node, pre)
             elif pre:
@@ -246,9 +347,9 @@ def render(root: Node) -> str:
                 flow.end()
                 flow.gap = flow.gap or tag in SPACED
             continue
-        if _hidden(node):
+        if _hidden(node) or drawing and (tag in UNDRAWN or node.attrs.get("display", "").strip() == "none"):
             continue
-        seen = _VISIBILITY.search(node.attrs.get("style", ""))
+        seen = _VISIBILITY.search(node.attrs.get("style", "") or drawing and f"visibility:{node.attrs.get('visibility', '')}" or "")
         shown = seen[1].lower() == "visible" if seen else shown
         pre = pre or tag in ("pre", "listing", "xmp")
         if tag == "br":
@@ -258,6 +359,20 @@ def render(root: Node) -> str:
             flow.end()
             flow.put(["---"])
             continue
+        if tag in ("input", "textarea", "select"):
+            if shown and tag == "select":
+                lines = _select_lines(node)
+                if len(lines) > 1:
+                    flow.end()
+                for x in lines:
+                    flow.text(f" {x} ", False)
+                    if len(lines) > 1:
+                        flow.end()
+            elif shown and (x := _input_text(node) if tag == "input" else _textarea_text(node)):
+                flow.text(" ", False)
+                flow.text(x, tag == "textarea")
+                flow.text(" ", False)
+            continue
         if tag in ("td", "th") and tables and tables[-1][1] is not None:
             flows.append(Flow())
         elif tag == "tr" and tables:
@@ -286,11 +401,18 @@ def render(root: Node) -> str:
         elif tag in BLOCK:
             flow.end()
             flow.gap = flow.gap or tag in SPACED
-        stack.append((node, True, shown, pre))
+        stack.append((node, True, shown, pre, drawing))
         children = node.children
+        if tag == "svg":
+            drawing = True
+        elif drawing and tag in ("text", "foreignobject"):
+            drawing = False
+            children = [" ", *children, " "]
+        elif tag in ("mfrac", "mtr", "mtable"):
+            children = [x for c in children for x in (" ", c, " ")]
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-        stack.extend((c, False, shown, pre) for c in reversed(children))
+        stack.extend((c, False, shown, pre, drawing) for c in reversed(children))
     return "\n".join(page.result())
 
 
