@@ -100,6 +100,44 @@ def test_substring_hash_collision(monkeypatch):
     assert substring.repeated_windows(ids, np.array([0, 1, 4, 6]), 3).tolist() == [True, False, True, False]
 
 
+def test_substring_hot_minimiser_is_split(spark, rows):
+    r, words = random.Random(4), vocabulary(3, 3000)
+    # Runs of four words with the smallest hashes, each in many texts that share nothing else; some texts come twice.
+    runs = [[f"h{i}", "x", "y", "z"] for i in range(20_000)]
+    hot = min(runs, key=lambda w: int(substring.run_hashes(substring._hashes([x.encode() for x in w]), 4)[0]))
+    long = hot + [r.choice(words) for _ in range(30)]
+    text = lambda middle: " ".join([*(r.choice(words) for _ in range(40)), *middle, *(r.choice(words) for _ in range(40))])
+    texts = [text(hot) for _ in range(300)] + [text(long) for _ in range(300)]
+    data = list(enumerate(texts + texts[:5] + texts[-5:])) + rows
+    window, bound = 35, 40_000
+    docs = docs_of(spark, data).repartition(3)
+    buckets = -(-3 * sum(len(t or "") for _, t in data) // bound)
+    flags = substring.hot_slots(docs.fillna("", ["text"]), window, buckets, bound)
+    assert flags[0].any() and flags[1].any()
+    frame = __import__("pandas").DataFrame({"doc_key": [d or -1 for d, _ in data], "text_key": range(len(data)), "text": [t or "" for _, t in data]})
+
+    def largest(hot):
+        size = Counter()
+        for b in substring.pack(iter([frame]), window, buckets, hot):
+            for bucket, payload in zip(b["bucket"], b["payload"], strict=True):
+                size[bucket] += len(substring.zstandard.decompress(payload)) if payload is not None else 0
+        return max(size.values())
+
+    assert largest(None) > 4 * bound and largest(flags) < 3 * bound
+    spans = substring.marked(docs, window, bucket_bytes=bound).collect()
+    got = Counter((x.doc_id, x.text, substring.kept_words(x.text, x.spans)[1:]) for x in spans)
+    seen = Counter(tuple(w[i : i + window]) for _, t in data for w in [(t or "").encode().split()] for i in range(len(w) - window + 1))
+    expected = Counter()
+    for d, t in data:
+        w = (t or "").encode().split()
+        keep = [True] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                keep[i : i + window] = [False] * window
+        expected[d, t or "", (keep.count(False), b" ".join(a for a, k in zip(w, keep, strict=True) if k))] += 1
+    assert got == expected
+
+
 def test_bpe_like_tiktoken(spark, rows):
     import tiktoken
 

@@ -5,6 +5,12 @@ minimiser (the smallest hash of the runs of MINIMISER words inside) travel as
 one packed string to the minimiser's bucket; equal windows share it, so they
 meet there.  In a bucket, windows are sorted and counted exactly.
 
+A minimiser that heads more packed bytes than one bucket should have would be
+an unbounded group.  Bytes are therefore counted first, by slots of minimisers:
+windows of a hot slot go by the minimiser of longer runs as well, and where
+that is hot too, each by its own hash.  All of these are functions of the
+window's words, so equal windows still meet.
+
 A task packs many strings at a time: one compressed blob for each bucket, in
 which a string that the task saw several times stands once.  All windows of
 such a string are known to repeat, so its places are marked at once and do not
@@ -32,11 +38,16 @@ from tidegrain.llm.common import need, small_batches
 
 WINDOW = 35
 MINIMISER = 4
+#: Words of the runs whose smallest hash parts windows of a hot minimiser.
+LONGER = 16
+#: Slots, at least, in which bytes are counted by minimiser, and slots for each bucket.
+SLOTS, SLOTS_PER_BUCKET = 1 << 16, 8
 #: Bytes of text after which a task sends its blobs, and packed bytes aimed at for a bucket.
 PORTION = 8 << 20
 BUCKET_BYTES = 12 << 20
 
 PACKED = "bucket int, payload binary, doc_key long, text_key long, spans binary"
+COUNTED = "longer boolean, slot long, bytes long"
 MARKED = "doc_key long, text_key long, spans binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -73,14 +84,86 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def super_kmers(words: list[bytes], window: int) -> list[tuple[int, int, int]]:
-    """(minimiser, first window, windows) of each super-k-mer; windows are numbered by their first word."""
-    m = min(MINIMISER, window)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    least = _sliding_min(run_hashes(h, m), window - m + 1)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    ends = np.append(starts[1:], len(least))
-    return list(zip(least[starts].tolist(), starts.tolist(), (ends - starts).tolist(), strict=True))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _minima(h: np.ndarray, run: int, window: int) -> np.ndarray:
+    """Smallest hash of the runs of so many words in each window."""
+    run = min(run, window)
+    return _sliding_min(run_hashes(h, run), window - run + 1)
+
+
+def _pieces(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each run of equal keys."""
+    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    return starts, np.append(starts[1:], len(keys))
+
+
+def super_kmers(words: list[bytes], window: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
+    """(key, first window, windows) of each super-k-mer; windows are numbered by their first word.
+
+    The key is the minimiser unless its slot is hot (hot: flags by slot, of
+    minimisers and of minimisers with those of longer runs).
+    """
+    h = _hashes(words)
+    keys = _minima(h, MINIMISER, window)
+    if hot is not None:
+        slot = np.uint64(len(hot[0]) - 1)
+        warm = hot[0][(keys & slot).astype(np.int64)]
+        if warm.any():
+            longer = _mix(keys, _minima(h, LONGER, window))
+            own = warm & hot[1][(longer & slot).astype(np.int64)]
+            keys = np.where(own, run_hashes(h, window), np.where(warm, longer, keys))
+    starts, ends = _pieces(keys)
+    return list(zip(keys[starts].tolist(), starts.tolist(), (ends - starts).tolist(), strict=True))
+
+
+def weigh(texts: Iterator[str], window: int, slots: int) -> Iterator[pd.DataFrame]:
+    """Bytes of strings that pack() would send for each slot of minimisers, and of these with longer runs."""
+    totals = np.zeros((2, slots), np.int64)
+    found: tuple[list, list] = ([], [])
+    size = 0
+
+    def add() -> None:
+        for total, parts in zip(totals, found, strict=True):
+            if parts:
+                keys, ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                one = np.unique(ids, return_index=True)[1]
+                np.add.at(total, (keys[one] & np.uint64(slots - 1)).astype(np.int64), n[one])
+            parts.clear()
+
+    for text in texts:
+        words = text.encode().split()
+        if len(words) < window:
+            continue
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+        h = _hashes(words)
+        least, whole = _minima(h, MINIMISER, window), run_hashes(h, window)
+        for keys, parts in zip((least, _mix(least, _minima(h, LONGER, window))), found, strict=True):
+            a, b = _pieces(keys)
+            # A string is known by its first and last window and its length; 40 bytes of numbers go with it.
+            ids = _mix(_mix(whole[a], whole[b - 1]), (b - a).astype(np.uint64))
+            parts.append((keys[a], ids, ends[b + window - 1] - ends[a] + 40))
+        size += int(ends[-1])
+        if size >= PORTION:
+            add()
+            size = 0
+    add()
+    for longer, total in enumerate(totals):
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 10_000):
+            yield pd.DataFrame({"longer": bool(longer), "slot": some[i : i + 10_000], "bytes": total[some[i : i + 10_000]]})
+
+
+def hot_slots(texts: DataFrame, window: int, buckets: int, bucket_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the strings of a slot are more than a bucket should have: of minimisers, and of these with longer runs."""
+    slots = max(SLOTS, 1 << (SLOTS_PER_BUCKET * buckets - 1).bit_length())
+    counted = texts.select("text").mapInPandas(lambda it: weigh((t for b in it for t in b["text"]), window, slots), COUNTED)
+    hot = np.zeros((2, slots), bool)
+    table = counted.groupBy("longer", "slot").agg(F.sum("bytes").alias("n")).filter(F.col("n") > bucket_bytes).select("longer", "slot").toArrow()
+    hot[table.column("longer").to_numpy().astype(np.int64), table.column("slot").to_numpy()] = True
+    return hot[0], hot[1]
 
 
 def _blob(entries: list, compress) -> bytes:
@@ -97,7 +180,7 @@ def _unblob(data: bytes, expand) -> tuple[np.ndarray, bytes]:
     return meta, raw[8 + n * 40 :]
 
 
-def pack(batches: Iterator[pd.DataFrame], window: int, buckets: int) -> Iterator[pd.DataFrame]:
+def pack(batches: Iterator[pd.DataFrame], window: int, buckets: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
     """Blobs by bucket, and marks for strings that a portion has twice or more."""
     compress = zstandard.ZstdCompressor(level=3).compress
     seen: dict[bytes, list] = {}
@@ -126,7 +209,7 @@ def pack(batches: Iterator[pd.DataFrame], window: int, buckets: int) -> Iterator
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
             size += len(joined)
-            for mini, s, n in super_kmers(words, window):
+            for mini, s, n in super_kmers(words, window, hot):
                 string = joined[ends[s - 1] if s else 0 : ends[s + n + window - 2] - 1]
                 known = seen.get(string)
                 if known is None:
@@ -218,7 +301,8 @@ def marked(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYT
     keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("doc_key"), F.xxhash64("text").alias("text_key"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(3 * total / bucket_bytes))
-    packed = keyed.select("doc_key", "text_key", "text").mapInPandas(lambda it: pack(it, window, buckets), PACKED)
+    hot = spark.sparkContext.broadcast(hot_slots(rows, window, buckets, bucket_bytes))
+    packed = keyed.select("doc_key", "text_key", "text").mapInPandas(lambda it: pack(it, window, buckets, hot.value), PACKED)
     found = packed.groupBy("bucket").applyInPandas(lambda frame: count_bucket(frame, window), MARKED)
     spans = found.groupBy("doc_key", "text_key").agg(F.collect_list("spans").alias("spans"))
     return keyed.join(spans, ["doc_key", "text_key"], "left").select("doc_id", "text", "spans")
