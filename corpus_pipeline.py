@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram similarity links: five words, 0.8."""
-    return ngram_join.keep_one(docs, n=5, percent=80)
+    return ngram_join.keep_one(docs, n=5, percent=80, null_ids_stay=False)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,22 @@ def test_ngram_join_brute_force(spark, rows):
     assert kept == {None} | {c for _, _, c in expected if c is not None}
 
 
+def test_ngram_keep_one_counts_rows(spark):
+    r, words = random.Random(6), vocabulary(5)
+    a, b, c, d = (" ".join(r.choice(words) for _ in range(60)) for _ in range(4))
+    near = a.replace(a.split()[30], "changed", 1)
+    data = [(1, a), (1, a), (2, a.upper()), (None, near), (None, b), (None, b), (3, c), (3, a), (4, d), (4, d + " " + d.split()[0]), (5, ""), (5, ""), (6, None), (7, b + " " + " ".join(reversed(c.split())))]
+    docs = docs_of(spark, data).repartition(3)
+    kept = ngram_join.keep_one(docs, null_ids_stay=False)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    four = [x for x in got if x[0] == 4]
+    assert len(four) == 1 and four[0] in data
+    assert got == Counter([(1, a), (None, b), (3, c), *four, (5, ""), (5, ""), (6, None), data[-1]])
+    got = Counter((x.doc_id, x.text) for x in ngram_join.keep_one(docs).collect())
+    assert got == Counter([(1, a), (None, near), (None, b), (None, b), (3, c), *four, (5, ""), (5, ""), (6, None), data[-1]])
+
+
 def test_ngram_prefixes_meet():
     r = np.random.default_rng(3)
     levels = r.integers(0, 4, 1 << 10).astype(np.uint64)

@@ -189,15 +189,8 @@ def _may_link(percent: int) -> Column:
     return sizes & ((100 + percent) * F.least(n - F.col("pos"), m - F.col("hub_pos")) >= percent * (n + m))
 
 
-def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links for each row of docs.
-
-    component_id is the smallest doc_id that links reach; n_links counts the
-    verified links of the row's class that joined it (an empty set has none
-    and is a component of its own).  Null texts are empty; rows with one set
-    are one class; a null doc_id is never the smallest unless nothing else is;
-    an empty table gives an empty one; other columns are not read.
-    """
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, c, n, text_key and comp of each row of docs (comp is c where nothing links), and the verified links."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     small_batches(spark)
@@ -237,7 +230,19 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
         done = pairs if done is None else done.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         labels = merged(labels, new)
-    labelled = members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    return members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")), links
+
+
+def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links for each row of docs.
+
+    component_id is the smallest doc_id that links reach; n_links counts the
+    verified links of the row's class that joined it (an empty set has none
+    and is a component of its own).  Null texts are empty; rows with one set
+    are one class; a null doc_id is never the smallest unless nothing else is;
+    an empty table gives an empty one; other columns are not read.
+    """
+    labelled, links = _labelled(docs, n, percent)
     smallest = labelled.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
     out = labelled.join(smallest, "comp", "left")
     if links is not None:
@@ -249,8 +254,27 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows and columns of docs whose doc_id is the smallest of their component; a null doc_id stays."""
-    found = components(docs, n, percent)
-    drop = found.filter("component_id != doc_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("drop_id"), "left_anti")
+def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, null_ids_stay: bool = True) -> DataFrame:
+    """One row of each component of docs, with its columns; rows without shingles are components of their own.
+
+    The row with the smallest doc_id stays, nulls last; of rows with that
+    doc_id, the one with the smallest text_key (xxhash64 of the text); of rows
+    alike in both, the one whose columns are smallest as JSON.  With
+    null_ids_stay, rows with a null doc_id stay as well and are not counted.
+    """
+    labelled, _ = _labelled(docs, n, percent)
+    rows = labelled.filter("n > 0")
+    if null_ids_stay:
+        rows = rows.filter("doc_id is not null")
+    # Rows of one doc_id and text are one key; they have one class and so one component.
+    keys = stored(rows.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("rows")))
+    best = keys.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("best"))
+    marked = keys.join(best, "comp").withColumn("wins", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))
+    as_key = lambda df: df.select(F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text"))
+    others, several = as_key(marked.filter("not wins or rows > 1")), as_key(marked.filter("wins and rows > 1"))
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("key_id")) & (text_key == F.col("key_text"))
+    once = docs.join(others, same, "left_anti")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(several, same, "left_semi").groupBy(docs["doc_id"].cast("long").alias("key_id"), text_key.alias("key_text")).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return once.unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
