@@ -51,3 +51,8 @@ def test_every_sql_has_a_query():
 def test_serving_rows_are_unique(spark):
     df = registry.queries()["j18_serving"](spark, SF)
     assert df.groupBy("product", "uf", "mes").count().filter("count > 1").isEmpty()
+
+
+def test_search_has_its_fuzzy_level(spark):
+    scores = [r.score for r in registry.queries()["h32_fuzzy_search"](spark, SF).collect()]
+    assert any(0.4 < x <= 1 for x in scores)

@@ -153,3 +153,17 @@ def h31_dice(spark, sf_dir):
 def h32_search(spark, sf_dir):
     s = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), text.search_score(F.lit("red"), F.col("p_name"), 2.0).alias("score")).filter("score > 0")
     return windows.top_per_key(s, ["name"], [F.desc("score")]).orderBy(F.desc("score"), "name").limit(12)
+
+
+FUZZY = "red wigdet"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, upper(trim(p_name)) AS u, upper('{FUZZY}') AS q FROM part),
+g AS (SELECT name, u, q, list_distinct(list_transform(range(1, length(u)), lambda i: substr(u, i, 2))) AS x, list_distinct(list_transform(range(1, length(q)), lambda i: substr(q, i, 2))) AS y FROM n),
+d AS (SELECT name, u, q, CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END AS dice FROM g),
+s AS (SELECT name, CASE WHEN u = q THEN 4.0::DOUBLE WHEN starts_with(u, q) THEN 3.0::DOUBLE WHEN contains(u, q) THEN 2.0::DOUBLE WHEN dice > 0.4 THEN dice ELSE 0.0::DOUBLE END AS score FROM d)
+SELECT name, score FROM s WHERE score > 0""")
+def h32_fuzzy_search(spark, sf_dir):
+    """Every name that a misspelt query finds, by all levels of the search."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return n.select("name", text.search_score(F.lit(FUZZY), F.col("name")).alias("score")).filter("score > 0")
