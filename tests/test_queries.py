@@ -56,3 +56,14 @@ def test_serving_rows_are_unique(spark):
 def test_search_has_its_fuzzy_level(spark):
     scores = [r.score for r in registry.queries()["h32_fuzzy_search"](spark, SF).collect()]
     assert any(0.4 < x <= 1 for x in scores)
+
+
+def test_whole_jobs_leave_no_row_out(spark):
+    own = lambda name: registry.queries()[name](spark, SF)
+    rows = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
+    for name, of in (("h4_name_key_all", "documents"), ("h1_decimal_price_all", "lineitem"), ("f4_null_order_all", "supplier"), ("f9_status_order_all", "orders")):
+        assert own(name).count() == rows(of), name
+    assert own("b15_valid_rows_all").select("uf", "periodo").distinct().count() > 1
+    rank = {"F": 0, "P": 1}
+    order = [rank.get(r.o_orderstatus, 2) for r in own("f9_status_order_all").collect()]
+    assert order == sorted(order)

@@ -91,6 +91,12 @@ def b15_valid_rows(spark, sf_dir):
     return f.filter("uf = 'NATION_2' AND periodo = 24005").select("uf", "product", "preco_q")
 
 
+@query("WITH fact AS FACT SELECT uf, product, periodo, preco_q FROM fact WHERE preco_q > 0 AND mes >= 1 AND mes <= 12 AND length(uf) > 2")
+def b15_valid_rows_all(spark, sf_dir):
+    f = fact(spark, sf_dir).filter((F.col("preco_q") > 0) & F.col("mes").between(1, 12) & (F.length("uf") > 2))
+    return f.select("uf", "product", "periodo", "preco_q")
+
+
 @query("WITH fact AS FACT, a AS (SELECT * FROM fact WHERE ano = 2000), b AS (SELECT * FROM fact WHERE ano = 2001) SELECT coalesce(a.product, b.product) AS product, coalesce(a.uf, b.uf) AS uf, coalesce(a.mes, b.mes) AS mes, a.preco_q AS p2000, b.preco_q AS p2001 FROM a FULL JOIN b ON a.product = b.product AND a.uf = b.uf AND a.mes = b.mes")
 def c3_full_outer(spark, sf_dir):
     f = fact(spark, sf_dir)
@@ -337,3 +343,7 @@ def f9_status_order(spark, sf_dir):
     return o.orderBy(rank, F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus")
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC NULLS LAST, o_orderkey")
+def f9_status_order_all(spark, sf_dir):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
+    return table(spark, sf_dir, "orders").orderBy(rank, F.desc_nulls_last("o_totalprice"), "o_orderkey").select("o_orderkey", "o_orderstatus")

@@ -37,6 +37,16 @@ def f4_null_order(spark, sf_dir):
     return s.select("s_suppkey", F.row_number().over(Window.orderBy(F.asc_nulls_first("k"), "s_suppkey")).cast("long").alias("a"))
 
 
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY nullif(s_nationkey, 3) NULLS FIRST, s_suppkey) AS a FROM supplier")
+def f4_null_order_all(spark, sf_dir):
+    """The place of each row in the whole order: within its key, after the rows of smaller keys."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(3)).alias("k"))
+    sizes = s.groupBy("k").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("k").alias("key"), (F.sum("n").over(Window.orderBy(F.asc_nulls_first("k"))) - F.col("n")).alias("before"))
+    placed = s.select("s_suppkey", "k", F.row_number().over(Window.partitionBy("k").orderBy("s_suppkey")).cast("long").alias("own"))
+    return placed.join(F.broadcast(before), F.col("k").eqNullSafe(F.col("key"))).select("s_suppkey", (F.col("own") + F.col("before")).alias("a"))
+
+
 CLASSES = (("widget", "MAQUINARIO"), ("gear|rod", "INSUMO"), ("plate", "ALIMENTO"))
 
 

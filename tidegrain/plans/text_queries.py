@@ -28,6 +28,12 @@ def h1_decimal_price(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", text.decimal_price(raw).alias("price"))
 
 
+@query("SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(replace(trim(replace(CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR), '.', ',')), ',', '.'), '') AS DECIMAL(14,4)) AS price FROM lineitem")
+def h1_decimal_price_all(spark, sf_dir):
+    raw = F.replace(F.col("l_extendedprice").cast("decimal(14,2)").cast("string"), F.lit("."), F.lit(","))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.decimal_price(raw).alias("price"))
+
+
 @query("WITH fact AS FACT SELECT DISTINCT CAST(ano AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') AS period, ano, mes FROM fact")
 def h2_period_text(spark, sf_dir):
     p = fact(spark, sf_dir).select(period.text(F.col("ano"), F.col("mes")).alias("period")).distinct()
@@ -44,6 +50,15 @@ def h4_name_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("lang in ('es', 'fr')").select("doc_id", text.name_key(head).alias("key"))
 
 
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(upper(trim(replace(text, 'ß', 'ss'))), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇ', 'AAAAAEEEEIIIIOOOOOUUUUC'), '\s+', ' ', 'g'), '\s+-\s+', ' ', 'g'), '([A-Z])-([A-Z])', '\1 \2', 'g'), '([A-Z])-([A-Z])', '\1 \2', 'g'), '\*+', '', 'g'), ' -') AS key
+FROM documents"""
+)
+def h4_name_key_all(spark, sf_dir):
+    """Keys of whole texts of all languages; upper case of a sharp s is two letters, which DuckDB leaves out."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.col("text")).alias("key"))
+
+
 @query(f"SELECT p_partkey, coalesce({_case('p_name', BASES)}, p_name) AS base FROM part")
 def h5_base_product(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.by_rules(F.col("p_name"), BASES, F.col("p_name")).alias("base"))
