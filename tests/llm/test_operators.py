@@ -258,6 +258,17 @@ def test_decontamination(spark):
         assert [m[1] for m in index.matches(text)] == ([best] if best >= 0.8 else [])
 
 
+def test_decontamination_by_items_without_id(spark):
+    r, words = random.Random(11), vocabulary(4, 900)
+    a, b = (" ".join(r.choice(words) for _ in range(40)) for _ in range(2))
+    other = " ".join(r.choice(words) for _ in range(150))
+    docs = docs_of(spark, [(1, f"{other} {a}"), (2, f"{b} {other}"), (3, other)])
+    big = (1 << 60) + 1
+    bench = spark.createDataFrame([(None, a), (big, b), (None, None)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find(docs, bench).collect()} == {(1, None), (2, big)}
+    assert [x.doc_id for x in decontaminate.remove(docs, bench).collect()] == [3]
+
+
 def test_simhash_blocks_reach_the_radius():
     r = random.Random(1)
     index = decontaminate.Index([(1, " ".join(vocabulary(2, 40)))])

@@ -142,7 +142,8 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_
     Ties in similarity go to the first window.  Null, empty and wordless texts
     and items match nothing; an item longer than a document is held against
     the whole document.  Repeated rows of docs are searched each; of items
-    with one id each text is searched and the best window kept.  Empty tables
+    with one id each text is searched and the best window kept; an item without
+id is searched as well and found as null.  Empty tables
     give an empty result; other columns are not read.
     """
     need(docs, "doc_id", "text")
@@ -154,7 +155,9 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in index.value.matches(t)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "start", "n_words"])
+                made = pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "start", "n_words"])
+                # With a null among them, plain numbers would become floats.
+                yield made.assign(item_id=pd.array([x[1] for x in out], dtype="Int64"))
 
         own = rows.mapInPandas(run, MATCHES)
         found = own if found is None else found.unionByName(own)
@@ -162,7 +165,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """The rows and columns of docs in whose text no item is found; null texts stay."""
+    """The rows and columns of docs in whose text no item is found, with or without an id; null texts stay."""
     need(docs, "text")
     small_batches(docs.sparkSession)
     for index in _indexes(benchmark, least, pass_chars):
@@ -183,7 +186,7 @@ def _leaks(index):
 def _indexes(benchmark: DataFrame, least: float, pass_chars: int) -> list:
     """Broadcast indexes of the benchmark's parts, each of about pass_chars characters at most."""
     need(benchmark, "item_id", "text")
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, ceil(total / pass_chars))
     part = lambda p: [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()]
