@@ -159,7 +159,7 @@ def test_bpe_like_tiktoken(spark, rows):
 
     path = T.path("byte_bpe_multi_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    more = [(400 + i, t) for i, t in enumerate(["a  b", "a   b", " a ", "a \n b", "a\n \nb", "it's we'll 'S 12 3!!  \t\n", "x\x1c \x1cy", "<|endoftext|> x", "é" * 300])]
+    more = [(400 + i, t) for i, t in enumerate(["a  b", "a   b", "", " a ", "getURL fooBar ÉcoleÀ x.y", "a \n b", "a\n \nb", "it's we'll 'S 12 3!!  \t\n", "x\x1c \x1cy", "<|endoftext|> x", "é" * 300])]
     got = {r.doc_id: r for r in bpe.encode(docs_of(spark, rows + more), path, T.PATTERN).collect()}
     digest = {r.doc_id: r for r in bpe.round_trip_digests(docs_of(spark, rows + more), path, T.PATTERN).collect()}
     for d, t in rows + more:
@@ -182,8 +182,8 @@ def test_token_orc_round_trip(spark, rows, tmp_path):
 
     path = T.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     some = [x for x in rows if x[0] is not None and x != (0, rows[0][1]) or x is rows[0]]
+    some += [(400 + i, t) for i, t in enumerate(["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>", "it's.\nThe  end.\n x!?\n\ny 12,5% $a", " a", "a ", "z" * 300])]
     token_orc.write(docs_of(spark, some), str(tmp_path / "orc"), path, 2, 5)
     got = sorted(token_orc.read(spark, str(tmp_path / "orc")).collect(), key=lambda r: r.start)
     start, expected = 0, []
@@ -194,6 +194,30 @@ def test_token_orc_round_trip(spark, rows, tmp_path):
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == expected
     found = token_orc.lookup(spark, str(tmp_path / "orc"), [302])
     assert [r.ids for r in found.collect()] == [[*tok.encode("one").ids, 2]]
+    # As ordinary text, if asked for.
+    tok.encode_special_tokens = True
+    token_orc.write(docs_of(spark, [(1, "a <|endoftext|> b"), (None, "x"), (1, "a <|endoftext|> b")]), str(tmp_path / "plain"), path, 2, special_as_text=True)
+    ids = [*tok.encode("a <|endoftext|> b", add_special_tokens=False).ids, 2]
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_orc.read(spark, str(tmp_path / "plain")).collect())
+    assert got == [(0, None, 2), (2, 1, len(ids)), (2 + len(ids), 1, len(ids))]
+
+
+def test_words_as_the_library_encodes_them():
+    from tokenizers import Tokenizer
+
+    pa = pytest.importorskip("pyarrow")
+    path = T.path("byte_bpe_50k.json")
+    tok, words = Tokenizer.from_file(path), token_orc._words(path, False)
+    assert words.split.__self__.plain
+    r = random.Random(1)
+    parts = ["a", "B", "é", "ñ", " ", "  ", "\n", ".", " .", "'s", "'ll", " '", "1", " 3", "<|endoftext|>", "日", "\t", " ", "ß", "###", "$", "Ā", "ɏ", "ɐ", "×", "ª", "\r", "\x1c", "\x00"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(5000)]
+    ids, sizes = words.lookup(pa.array(texts))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    small = pretokens.WordIds(words.split, words.merge, kept=20)
+    for t, ids in zip(texts[:200], got, strict=False):
+        assert small.lookup(pa.array([t, ""]))[0].tolist() == ids
 
 
 def test_pii_against_plain_patterns():

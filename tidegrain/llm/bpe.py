@@ -14,15 +14,18 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrain.llm.common import need, small_batches
-from tidegrain.llm.pretokens import ChunkCache
+from tidegrain.llm.pretokens import Ids, WordIds, gather
 
 #: A Latin word, perhaps after a space, then punctuation: two pre-tokens of the common pattern.
 _PLAIN_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,!?;:]*)").fullmatch
@@ -82,7 +85,9 @@ class ByteBPE:
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.pattern = regex.compile(pattern)
-        self.plain = all(len(self.pattern.findall(x)) == 2 for x in (" a\u00e9.,", "Z\u024f!?;:"))
+        # Patterns that part words by case, script or length take the search.
+        one, two = (" fooBar", "XMLHttpFoo", "a\u00c9b\u024f\u0100" * 20), (" a\u00e9.,", "Z\u024f!?;:", " a....", "HTTP;;")
+        self.plain = all(len(self.pattern.findall(x)) == 1 for x in one) and all(len(self.pattern.findall(x)) == 2 for x in two)
         chars = byte_characters()
         self.to_chars = {b: c for b, c in enumerate(chars)}
         back = {c: b for b, c in enumerate(chars)}
@@ -97,18 +102,15 @@ class ByteBPE:
             return self.pattern.findall(text)
         return [m[1], m[2]] if m[2] else [m[1]]
 
-    def encode_chunks(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, each pre-token by itself; one that is an entry gets that entry's id."""
-        split = [self.split(t) for t in texts]
-        unknown = list({p for s in split for p in s if p not in self.whole})
+    def merge(self, pieces: list[str]) -> Ids:
+        """Ids of each pre-token; one that is an entry gets that entry's id."""
+        unknown = [p for p in pieces if p not in self.whole]
         mapped = [p.encode().decode("latin-1").translate(self.to_chars) for p in unknown]
-        ids = self.model.encode(mapped, out_type=int, num_threads=1) if mapped else []
-        merged = {p: [i - 1 for i in x] for p, x in zip(unknown, ids, strict=True)}
-        return [[i for p in s for i in ([self.whole[p]] if p in self.whole else merged[p])] for s in split]
-
-    def digest_parts(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        """Of each text: number of ids, the ids as decimals, and what they decode to."""
-        return [(len(ids), ",".join(map(str, ids)), self.decode(ids)) for ids in self.encode_chunks(texts)]
+        merged = iter(self.model.encode(mapped, out_type=int, num_threads=1) if mapped else [])
+        # Piece 0 of the model is the unknown one.
+        ids = [[self.whole[p] + 1] if p in self.whole else next(merged) for p in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<i4", int(sizes.sum())) - 1, sizes
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -122,22 +124,35 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
-_caches: dict[tuple, ChunkCache] = {}
+class Digester:
+    """Digests of the decimal ids and of the bytes they decode to."""
+
+    def __init__(self, codec: ByteBPE):
+        self.tables = [_flat([b"%d," % i for i in range(len(codec.token_bytes))]), _flat(codec.token_bytes)]
+
+    def __call__(self, ids: np.ndarray) -> tuple[str, str]:
+        decimals, decoded = (gather(flat, starts[ids], sizes[ids]).tobytes() for flat, starts, sizes in self.tables)
+        return hashlib.sha256(decimals[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def _codec(path: str, pattern: str) -> ByteBPE:
+_loaded: dict[tuple[str, str], tuple[ByteBPE, WordIds, Digester]] = {}
+
+
+def _codec(path: str, pattern: str) -> tuple[ByteBPE, WordIds, Digester]:
     if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE(path, pattern)
+        codec = ByteBPE(path, pattern)
+        _loaded[path, pattern] = codec, WordIds(codec.split, codec.merge), Digester(codec)
     return _loaded[path, pattern]
 
 
-def _cache(path: str, pattern: str, digests: bool = False) -> ChunkCache:
-    key = (path, pattern, digests)
-    if key not in _caches:
-        codec = _codec(path, pattern)
-        _caches[key] = ChunkCache(codec.digest_parts if digests else codec.encode_chunks)
-    return _caches[key]
+def _encoded(words: WordIds, texts: pa.Array) -> list[np.ndarray]:
+    flat, sizes = words.lookup(texts)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -151,11 +166,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, codec = _cache(path, pattern), _codec(path, pattern)
+        codec, words, _ = _codec(path, pattern)
         for b in batches:
-            parts, known = cache.lookup(b["text"].tolist())
-            ids = [[i for c in p for i in known[c]] for p in parts]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [codec.decode(x) for x in ids]})
+            ids = _encoded(words, pa.array(b["text"], pa.string()))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded": [codec.decode(x.tolist()) for x in ids]})
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, ENCODED)
 
@@ -165,7 +179,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     need(encoded, "doc_id", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(path, pattern)
+        codec, _, _ = _codec(path, pattern)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "decoded": [codec.decode([] if x is None else [int(i) for i in x]) for x in b["ids"]]})
 
@@ -180,15 +194,12 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache(path, pattern, digests=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, words, digest = _codec(path, pattern)
         for b in batches:
-            parts, known = cache.lookup(b["text"].tolist())
-            rows = []
-            for p in parts:
-                found = [known[c] for c in p]
-                ids = ",".join([x[1] for x in found])
-                rows.append((sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].tolist())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, DIGESTS)
+            ids = _encoded(words, b.column("text"))
+            made = [digest(x) for x in ids]
+            columns = [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), *(pa.array([x[k] for x in made], pa.string()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, DIGESTS)
