@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 T = pytest.importorskip("public_tokenizers")
 
@@ -311,17 +313,19 @@ def brute_quality(rows, trusted, buckets):
         one = [xxhash.xxh64_intdigest(x, 42) for x in w]
         return w, [signed(h) % buckets for h in one] + [signed(xxhash.xxh64_intdigest(b, a)) % buckets for a, b in zip(one, w[1:], strict=False)]
 
-    target, raw = Counter(), Counter()
+    half = lambda d: signed(42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), 42)) % 2
+    target, raw = (Counter(), Counter()), (Counter(), Counter())
     for d, t in rows:
         g = grams(t)[1]
-        raw.update(g)
+        raw[half(d)].update(g)
         if d in trusted:
-            target.update(g)
-    nt, nr = sum(target.values()), sum(raw.values())
+            target[half(d)].update(g)
     out = []
     for d, t in rows:
         w, g = grams(t)
-        s = sum(np.log((target[b] + 1) / (nt + buckets)) - np.log((raw[b] + 1) / (nr + buckets)) for b in g) / max(1, len(g))
+        have, all_ = target[1 - half(d)], raw[1 - half(d)]
+        nt, nr, k = sum(have.values()), sum(all_.values()), quality.SMOOTHING
+        s = sum(np.log((have[b] + k) / (all_[b] * (nt / nr) + k)) for b in g) / max(1, len(g)) if nt and nr else 0.0
         three = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         hit = {j for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
         lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
@@ -331,20 +335,36 @@ def brute_quality(rows, trusted, buckets):
 
 
 def test_quality_brute_force(spark, rows):
-    more = [(500, "x### y&&& <b>|\n" * 30), (501, "a b c d e f\na b c d e f\n\n\ng"), (502, "a a a a")]
+    more = [(500, "x### y&&& <b>|\n" * 30), (501, "a b c d e f\na b c d e f\n\n\ng"), (502, "a a a a"), (0, "zz " + " ".join(map(str, range(90))))]
+    r, junk = random.Random(2), [f"junk{i}" for i in range(40)]
+    more += [(600 + i, " ".join(r.choice(junk) for _ in range(80))) for i in range(60)]
     data = rows + more
     labels = spark.createDataFrame([(i, int(i % 3 == 0), 0, "x") for i in range(60)] + [(0, 0, 1, "x"), (None, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
     trusted = {i for i in range(60) if i % 3 == 0}
     got = quality.score(docs_of(spark, data), labels).collect()
     cells = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, round(r.score, 8)) for r in got)
     assert cells == brute_quality(data, trusted, quality.BUCKETS)
+    assert {r.kept for r in got if not r.base_failed} == {True, False}
     kept = quality.keep(docs_of(spark, data), labels)
     assert kept.columns == docs_of(spark, data).columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
+    odd = docs_of(spark, data).withColumn("a`b.c", F.lit(1)).withColumn("own", F.lit(2)).withColumn("ratios", F.lit(3))
+    assert quality.keep(odd, labels).columns == odd.columns and quality.keep(odd, labels).count() == kept.count()
     none = quality.score(docs_of(spark, data), labels.limit(0)).collect()
     assert all(r.score == 0 for r in none)
 
 
+def test_quality_counts_about_so_many_trusted_documents(spark):
+    labels = spark.range(5000).selectExpr("id doc_id", "1 quality")
+    some = {r.trusted_id for r in quality.trusted_ids(labels.unionByName(labels), 1000).collect()}
+    assert 850 < len(some) < 1150
+    assert {r.trusted_id for r in quality.trusted_ids(labels.repartition(7), 1000).collect()} == some
+    assert quality.trusted_ids(labels, 5000).count() == 5000
+    # No document's own words are in its score: alone in its half, it scores as any other.
+    docs = docs_of(spark, [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)])
+    assert all(abs(r.score) < 0.02 for r in quality.score(docs, labels.filter("doc_id < 20"), buckets=1 << 18).collect())
+
+
 def test_toxicity_held_out(spark):
     r, words = random.Random(3), vocabulary(8, 600)
     bad = ["zorble", "zorbling", "idiot", "vexnak"]
