@@ -385,6 +385,25 @@ def test_toxicity_held_out(spark):
     assert {x.doc_id for x in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
     assert sum(x.predicted == truth[x.doc_id] for x in held) / len(held) > 0.95
     assert len(toxicity.score(docs_of(spark, rows[:5]), table.limit(0)).collect()) == 5
+    # Repeated doc_ids, with one text and with several, in any order of the rows.
+    again = docs_of(spark, data + rows[:50] + [(i, t) for i, (_, t) in zip(range(50), rows[50:100], strict=True)] * 2)
+    runs = [Counter((x.doc_id, round(x.score, 9)) for x in toxicity.score(again.repartition(n), table, 100).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(data) + 150
+
+
+def test_toxicity_label_model_learns_without_gold():
+    masks = np.array([0, 1, 7, 15, 31, 2, 63])
+    n = np.array([900.0, 40, 30, 30, 40, 50, 30])
+    alone = toxicity.LabelModel(masks, n)
+    guided = toxicity.LabelModel(masks, n, np.array([0.1, 0.2, 0.8, 0.9, 0.9, 0.2, 0.9]))
+    assert ((alone.posterior(masks) > 0.5) == (guided.posterior(masks) > 0.5)).all()
+
+
+def test_toxicity_training_rows_are_bounded(spark):
+    docs = docs_of(spark, [(i % 7, "x" if i % 2 else f"y{i}") for i in range(400)])
+    voted = toxicity.vote(docs, toxicity.Lexicon(["y", "x"], [5.0, 5.0]))
+    a, b = (toxicity.training_rows(voted.repartition(n), 5) for n in (1, 6))
+    assert a == b and len(a) == 5
 
 
 def test_label_model_separates_and_sees_correlation():
@@ -393,7 +412,7 @@ def test_label_model_separates_and_sees_correlation():
     fire = np.where(y[:, None], r.random((20_000, toxicity.VOTERS)) < 0.8, r.random((20_000, toxicity.VOTERS)) < 0.05)
     fire[:, 5] = fire[:, 4]  # a copy of another voter
     masks, n = np.unique(fire @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
-    model = toxicity.LabelModel(masks, n.astype(float), np.zeros((len(masks), 2)))
+    model = toxicity.LabelModel(masks, n.astype(float))
     q = model.posterior(fire @ (1 << np.arange(toxicity.VOTERS)))
     assert ((q > 0.5) == y).mean() > 0.99
     assert model.parent[5] == 4 or model.parent[4] == 5

@@ -7,9 +7,11 @@
    voter each (the tree of largest conditional mutual information), which
    holds their correlations.  It is fitted by expectation maximisation on the
    counts of vote patterns, of which there are at most 2 ** 12.
-4. A linear classifier is trained on the model's posterior labels of the sample.
+4. A linear classifier is trained on the model's posterior labels of a bounded
+   sample of all rows outside the held-out quarter, with a label or without.
 
-Scores never use labels, lang, source or doc_id.
+Labels induce the lists and say which class is the toxic one; the posteriors
+and the classifier see votes only.  Scores never use labels, lang, source or doc_id.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 
 from tidegrain.llm.common import need, small_batches, stored
 
-#: Labelled training rows used at most, and induced lexicon entries at most.
+#: Labelled rows that the lexicon is induced from at most, rows that the classifier is trained on at most,
+#: and induced lexicon entries at most.
 SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 4_000
 THRESHOLD = 0.3
 VOTERS = 12
-LABEL_ACCURACY = 0.97
 
 # Common insults of four languages.
 INSULTS = frozenset(
@@ -161,35 +163,20 @@ def vote(docs: DataFrame, lex: Lexicon) -> DataFrame:
 class LabelModel:
     """Hidden class, voter accuracies and a tree of dependencies between voters."""
 
-    def __init__(self, masks: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, rounds: int = 40):
-        """masks: distinct vote patterns; counts of rows without a label, and (n, 2) counts of those with label 0 and 1."""
+    def __init__(self, masks: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 40):
+        """masks: distinct vote patterns; counts: rows that have them; start: a first guess of their class."""
         self.bits = (masks[:, None] >> np.arange(VOTERS)) & 1
         self.masks = masks
-        votes = self.bits.sum(1)
-        weight = self.bits @ np.ones(VOTERS)
-        q = 1 / (1 + np.exp(-(weight - 3.0)))
-        if labelled.sum():
-            q = (labelled[:, 1] + q) / (labelled.sum(1) + 1)
+        # Without a guess, class 1 is the one in which more voters fire.
+        q = 1 / (1 + np.exp(-(self.bits.sum(1) - 3.0))) if start is None else start
         self.parent = np.full(VOTERS, -1)
-        label = np.log(np.array([[LABEL_ACCURACY, 1 - LABEL_ACCURACY], [1 - LABEL_ACCURACY, LABEL_ACCURACY]]))
-        total = unlabelled + labelled.sum(1)
-        if not total.sum():
-            q = np.where(votes > 2, 0.9, 0.1)
         for k in range(rounds):
-            own = [self._with_label(q, label[:, y]) for y in (0, 1)] if k else [q, q]
-            mass = np.stack([unlabelled * (1 - q), unlabelled * q], 1)
-            for y in (0, 1):
-                mass += labelled[:, [y]] * np.stack([1 - own[y], own[y]], 1)
+            mass = np.stack([counts * (1 - q), counts * q], 1)
             if k % 5 == 0:
                 self._tree(mass)
             self._fit(mass)
             q = self.posterior(masks)
 
-    @staticmethod
-    def _with_label(q: np.ndarray, log_label: np.ndarray) -> np.ndarray:
-        a, b = np.log(np.clip(1 - q, 1e-12, 1)) + log_label[0], np.log(np.clip(q, 1e-12, 1)) + log_label[1]
-        return 1 / (1 + np.exp(np.clip(a - b, -50, 50)))
-
     def _tree(self, mass: np.ndarray) -> None:
         """The spanning tree of largest mutual information between voters given the class."""
         info = np.zeros((VOTERS, VOTERS))
@@ -237,11 +224,17 @@ class LabelModel:
 
 
 def fit_label_model(voted: DataFrame, sample: DataFrame) -> LabelModel:
-    """Fit on the vote patterns of all documents; sample (doc_id, toxic) adds its labels as one more voter."""
+    """Fit on the vote patterns of all documents; sample (doc_id, toxic) only says which class to begin from for a pattern."""
     marked = voted.select("doc_id", "votes").join(F.broadcast(sample.select(F.col("doc_id").alias("known_id"), F.col("toxic").cast("int").alias("y"))), F.col("doc_id") == F.col("known_id"), "left")
-    rows = marked.groupBy("votes").agg(F.count_if(F.col("y").isNull()).alias("u"), F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).orderBy("votes").collect()
-    masks = np.array([r["votes"] for r in rows] or [0])
-    return LabelModel(masks, np.array([r["u"] for r in rows] or [0.0], float), np.array([[r["n0"], r["n1"]] for r in rows] or [[0, 0]], float))
+    rows = marked.groupBy("votes").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).orderBy("votes").collect()
+    masks, n, known, toxic = (np.array([r[c] for r in rows] or [0], float) for c in ("votes", "n", "known", "toxic"))
+    masks = masks.astype(int)
+    if not toxic.sum() or toxic.sum() == known.sum():
+        return LabelModel(masks, n)
+    votes = ((masks[:, None] >> np.arange(VOTERS)) & 1).sum(1)
+    # Patterns that no labelled row has begin from the number of their votes.
+    guess = 1 / (1 + np.exp(-(votes - 3.0)))
+    return LabelModel(masks, n, (toxic + guess) / (known + 1))
 
 
 @dataclass
@@ -278,11 +271,21 @@ def train_linear(rows: list, targets: np.ndarray, n_entries: int, rounds: int =
     return Linear(w[:-1], float(w[-1]))
 
 
+def training_rows(voted: DataFrame, most: int) -> list:
+    """At most so many rows outside the held-out quarter, in the order of a hash of the row; equal rows of one doc_id count once."""
+    own = voted.filter("not held_out").select("votes", "entries", "counts", "share", F.xxhash64("doc_id", "votes", "entries", "counts").alias("h"))
+    different = own.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    # About twice as many as needed are looked at.
+    some = own.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(1.0, 2 * most / max(1, different)) * (1 << 30)))).dropDuplicates(["h"])
+    return some.orderBy("h").limit(most).drop("h").collect()
+
+
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted and votes, one row for each row of docs.
 
-    Labels are learned from at most sample_rows rows (in the order of a hash
-    of doc_id) outside the held-out quarter.  Null and empty texts have no
+    Lists are induced from at most sample_rows labelled rows (in the order of
+    a hash of doc_id) and the classifier is trained on at most sample_rows
+    rows, all outside the held-out quarter.  Null and empty texts have no
     votes and get the score of such texts; repeated rows each get a row;
     without documents the result is empty, and without labels the fixed
     lexicon and patterns alone vote.  Other columns are not read.
@@ -298,13 +301,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     lex = induce(train)
     voted = stored(vote(docs, lex))
     model = fit_label_model(voted, sample)
-    rows = voted.join(known, F.col("doc_id") == F.col("known_id")).drop("known_id").limit(2 * sample_rows).collect()
-    q = model.posterior(np.array([r["votes"] for r in rows] or [0], int))
-    log = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    shift = np.array([log if r["toxic"] else -log for r in rows] or [0.0])
-    q = np.clip(q, 1e-9, 1 - 1e-9)
-    targets = 1 / (1 + np.exp(-(np.log(q / (1 - q)) + shift)))
-    linear = train_linear(rows, targets, len(lex.entries)) if rows else None
+    rows = training_rows(voted, sample_rows)
+    linear = train_linear(rows, model.posterior(np.array([r["votes"] for r in rows] or [0], int)), len(lex.entries)) if rows else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
