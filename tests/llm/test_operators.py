@@ -97,6 +97,20 @@ def test_ngram_prefixes_meet():
             assert all(len(np.intersect1d(ngram_join.prefix(a, levels, o), ngram_join.prefix(b, levels, o))) for o in range(ngram_join.ORDERS))
 
 
+def test_ngram_filter_lets_all_wanted_rows_through(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("text_key"), F.col("id").alias("extra"))
+    keys = rows.filter("extra % 10 = 0").select(F.col("text_key").alias("key"))
+    got = {r.extra for r in ngram_join.wanted(rows, keys, 2000).collect()}
+    assert got >= set(range(0, 20_000, 10)) and len(got) < 3000
+    assert ngram_join.wanted(rows, keys.limit(0), 0).isEmpty()
+
+
+def test_ngram_frequency_levels(spark):
+    counts = spark.createDataFrame([(1, 400), (1, 400), (2, 3), (70, 100)], "a long, b long")
+    levels = ngram_join.frequency_levels(counts, 128)
+    assert levels[1] > levels[70] > levels[2] == levels[0] == 0
+
+
 @pytest.mark.parametrize("window", [1, 5, 35])
 def test_substring_brute_force(spark, rows, window):
     w = [(t or "").encode().split() for _, t in rows]

@@ -3,9 +3,9 @@
 Rows with one shingle set form a class; work is done once for each class.  A
 token order ranks shingles by how frequent their hash bucket is in the whole
 corpus, then by a hash, another one in each order.  Two sets of the wanted
-similarity share a token in their prefixes under every order, so a pair found
-under the first order must also meet in the prefixes of the others before its
-sets are compared exactly.
+similarity share a token in their prefixes under every order.  Pairs come from
+the first order's prefixes and are intersected with the others', which are kept
+by class, before any text is fetched; what is left is compared exactly.
 
 A pair must also be able to reach the similarity with the tokens that follow
 the first one it shares, on both sides; copies with edits of their own have
@@ -35,12 +35,12 @@ WORDS = 4
 PERCENT = 85
 ORDERS = 3
 HUB_ROUNDS = 2
-#: Rows to fetch at most for their keys to be broadcast; more are joined by a shuffle.
-BROADCAST_ROLES = 500_000
 #: Members that one task compares with a hub.
 HUB_MEMBERS = 200
-#: Buckets in which shingle frequencies are counted: the table is of this size for any input.
-FREQUENCY_BUCKETS = 1 << 20
+#: Shingle frequencies are counted in a bucket for each so many bytes of text, within these bounds; a level is one byte.
+BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1024, 1 << 16, 1 << 24
+#: Words of 64 bits of the filter that rows to fetch must pass: one for each so many keys, within these bounds.
+KEYS_PER_WORD, LEAST_WORDS, MOST_WORDS = 8, 1 << 10, 1 << 21
 
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -61,12 +61,22 @@ def class_of(s: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(s.tobytes()), "<i8")[0])
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency level of each bucket: 0 up to 1.1 times the mean, then four for each doubling."""
-    ratio = counts / max(counts.mean(), 1e-9)
+def _levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    """Level of a frequency: 0 up to 1.1 times the mean, then four for each doubling."""
+    ratio = counts / max(mean, 1e-9)
     return np.where(ratio <= 1.1, 0, np.clip(np.ceil(4 * np.log2(np.maximum(ratio, 1))), 1, 63)).astype(np.uint8)
 
 
+def frequency_levels(frequencies: DataFrame, buckets: int) -> np.ndarray:
+    """Levels of all buckets from rows a (bucket) and b (count); only those above the mean come to the driver."""
+    sums = frequencies.groupBy("a").agg(F.sum("b").alias("b"))
+    total = frequencies.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n")).first()["n"]
+    table = sums.filter(F.col("b") > F.lit(1.1 * total / buckets)).toArrow()
+    levels = np.zeros(buckets, np.uint8)
+    levels[table.column("a").to_numpy()] = _levels(table.column("b").to_numpy(), total / buckets)
+    return levels
+
+
 def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
     """First tokens of a set under an order: as many as must contain one that a similar set shares."""
     n = len(s)
@@ -85,48 +95,73 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def survey(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def survey(docs: DataFrame, buckets: int, n: int = WORDS) -> DataFrame:
     """Rows of members (kind 0: a doc_id, b class, n set size, text_key) and of frequencies (kind 1: a bucket, b count)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.int32)
         for b in batches:
             sets = [shingle_set(t, n) for t in b["text"]]
             for s in sets:
-                np.add.at(counts, (s & np.uint64(FREQUENCY_BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (s & np.uint64(buckets - 1)).astype(np.int64), 1)
             # Sets go as they come; the counts once, at the end of the task.
             yield pd.DataFrame({"kind": 0, "a": b["doc_id"], "b": [class_of(s) for s in sets], "n": [len(s) for s in sets], "text_key": b["text_key"]})
         some = np.flatnonzero(counts)
-        if len(some):
-            yield pd.DataFrame({"kind": 1, "a": some, "b": counts[some], "n": 0, "text_key": 0})
+        for i in range(0, len(some), 100_000):
+            yield pd.DataFrame({"kind": 1, "a": some[i : i + 100_000], "b": counts[some[i : i + 100_000]], "n": 0, "text_key": 0})
 
     return _rows(docs).mapInPandas(run, "kind int, a long, b long, n long, text_key long")
 
 
+PREFIXES = "token long, pos int, c long, n int, other array<int>, third array<int>"
+
+
 def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """token, its place, class and set size for the first order's prefix of each class."""
+    """For each class: token, its place and the set size for each of the first order's prefix, and one row with the other orders' prefixes.
+
+    Of the other orders 32 bits of each token are kept, which can only let more pairs through.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
-            out = []
+            out, rest = [], []
             for t in b["text"]:
                 s = shingle_set(t, n)
                 c = class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
                     out.append((prefix(s, levels.value, 0, percent).view(np.int64), c, len(s)))
+                    rest.append([prefix(s, levels.value, o, percent).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)])
             if len(seen) > 200_000:
                 seen.clear()
             if out:
                 sizes = [len(p) for p, _, _ in out]
-                yield pd.DataFrame({"token": np.concatenate([p for p, _, _ in out]), "pos": np.concatenate([np.arange(k) for k in sizes]), "c": np.repeat([c for _, c, _ in out], sizes), "n": np.repeat([k for _, _, k in out], sizes)})
+                yield pd.DataFrame({"token": np.concatenate([p for p, _, _ in out]), "pos": np.concatenate([np.arange(k) for k in sizes]), "c": np.repeat([c for _, c, _ in out], sizes), "n": np.repeat([k for _, _, k in out], sizes), "other": None, "third": None})
+                yield pd.DataFrame({"token": 0, "pos": -1, "c": [c for _, c, _ in out], "n": [k for _, _, k in out], "other": [x[0] for x in rest], "third": [x[1] for x in rest]})
 
-    return _rows(docs).select("text").mapInPandas(run, "token long, pos int, c long, n int")
+    return _rows(docs).select("text").mapInPandas(run, PREFIXES)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """The pairs (hub, c) whose sets meet in the prefixes of the other orders and then have the similarity.
+def meeting(pairs: DataFrame, others: DataFrame) -> DataFrame:
+    """The pairs (hub, c) whose prefixes meet under the other orders as well."""
+    hub = others.select(F.col("c").alias("hub"), F.col("other").alias("hub_other"), F.col("third").alias("hub_third"))
+    both = pairs.join(hub, "hub").join(others, "c")
+    return both.filter(F.arrays_overlap("other", "hub_other") & F.arrays_overlap("third", "hub_third")).select("hub", "c")
+
+
+def wanted(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """Rows whose text_key is among keys, and few others: a filter of bounded size goes to all tasks, and no text is shuffled."""
+    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << (n_keys // KEYS_PER_WORD).bit_length()))
+    at = lambda key: F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words - 1))
+    bit = lambda key: F.pmod(key, F.lit(64)).cast("int")
+    mask = keys.select(at(F.col("key")).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("key"))).alias("flag")).groupBy("word").agg(F.bit_or("flag").alias("flags"))
+    passed = rows.join(F.broadcast(mask), at(F.col("text_key")) == F.col("word"))
+    return passed.filter(F.getbit(F.col("flags"), bit(F.col("text_key"))) == 1).select(rows.columns)
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (hub, c) whose sets have the similarity.
 
     A class is read from one of its rows in docs.  The rows that pairs need
     are sent once to each group of a hub and up to HUB_MEMBERS members.
@@ -135,12 +170,11 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n: i
     members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part"), F.lit(False).alias("is_hub"), "c")
     hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"), F.col("hub").alias("c"))
     roles = stored(members.unionByName(hubs).join(classes, "c").withColumnRenamed("text_key", "key"))
-    rows = _rows(docs).select("text_key", F.coalesce("doc_id", F.lit(-1)).alias("own_id"), "text")
-    few = roles.count() <= BROADCAST_ROLES
-    both = rows.join(F.broadcast(roles) if few else roles, (F.col("text_key") == F.col("key")) & (F.col("own_id") == F.col("first_id"))).select("hub", "part", "is_hub", "c", "text")
+    rows = wanted(_rows(docs), roles.select("key"), roles.count()).select("text_key", F.coalesce("doc_id", F.lit(-1)).alias("own_id"), "text")
+    both = rows.join(roles, (F.col("text_key") == F.col("key")) & (F.col("own_id") == F.col("first_id"))).select("hub", "part", "is_hub", "c", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, hub_set, hub_prefixes = None, None, []
+        key, hub_set = None, None
         for b in batches:
             links = []
             for hub, part, is_hub, c, text in zip(b["hub"].tolist(), b["part"].tolist(), b["is_hub"].tolist(), b["c"].tolist(), b["text"], strict=True):
@@ -149,12 +183,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n: i
                     continue  # another text with the same key
                 if is_hub:
                     key, hub_set = (hub, part), s
-                    hub_prefixes = [prefix(s, levels.value, o, percent) for o in range(1, ORDERS)]
                     continue
                 if key != (hub, part):
                     raise ValueError("a hub comes before its members")
-                if not all(len(np.intersect1d(hub_prefixes[o - 1], prefix(s, levels.value, o, percent), assume_unique=True)) for o in range(1, ORDERS)):
-                    continue
                 common = len(np.intersect1d(hub_set, s, assume_unique=True))
                 if 100 * common >= percent * (len(s) + len(hub_set) - common):
                     links.append((hub, c))
@@ -189,25 +220,27 @@ def _may_link(percent: int) -> Column:
     return sizes & ((100 + percent) * F.least(n - F.col("pos"), m - F.col("hub_pos")) >= percent * (n + m))
 
 
-def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """doc_id, c, n, text_key and comp of each row of docs (comp is c where nothing links), and the verified links."""
+def _labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, c, n, text_key and comp of each row of docs (comp is c where nothing links)."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     small_batches(spark)
-    seen = stored(survey(docs, n))
-    counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
-    table = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
-    counts[table.column("a").to_numpy()] = table.column("b").to_numpy()
-    levels = spark.sparkContext.broadcast(_levels(counts))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // BYTES_PER_BUCKET).bit_length()))
+    seen = stored(survey(docs, buckets, n))
+    levels = spark.sparkContext.broadcast(frequency_levels(seen.filter("kind = 1"), buckets))
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "n", "text_key")
     classes = members.filter("n > 0").groupBy("c").agg(F.min(F.struct("text_key", F.coalesce("doc_id", F.lit(-1)).alias("first_id"))).alias("one")).select("c", "one.*")
 
-    by_token = stored(tokens(docs, levels, n, percent))
+    prefixes = stored(tokens(docs, levels, n, percent))
+    by_token = prefixes.filter("pos >= 0").select("token", "pos", "c", "n")
     dense = by_token.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token")
     shared = stored(by_token.join(dense, "token"))
-    forget(by_token)
     labels = stored(classes.join(shared.select("c").distinct(), "c", "left_semi").select("c", F.col("c").alias("comp")))
-    links, done = None, None
+    # Every row of a class gives the same prefixes.
+    others = stored(prefixes.filter("pos < 0").select("c", "other", "third").join(labels, "c", "left_semi").groupBy("c").agg(F.first("other").alias("other"), F.first("third").alias("third")))
+    forget(prefixes)
+    done = None
     left = shared
     for k in range(HUB_ROUNDS + 1):
         open_ = left.join(labels, "c")
@@ -226,32 +259,23 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         if done is not None:
             found = found.join(done, ["hub", "c"], "left_anti").join(done.select(F.col("hub").alias("c"), F.col("c").alias("hub")), ["hub", "c"], "left_anti")
         pairs = stored(found)
-        new = stored(verified(docs, classes, pairs, levels, n, percent))
+        labels = merged(labels, stored(verified(docs, classes, stored(meeting(pairs, others)), n, percent)))
         done = pairs if done is None else done.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = merged(labels, new)
-    return members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c")), links
+    return members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
 
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links for each row of docs.
+    """doc_id, n_shingles and component_id for each row of docs.
 
-    component_id is the smallest doc_id that links reach; n_links counts the
-    verified links of the row's class that joined it (an empty set has none
-    and is a component of its own).  Null texts are empty; rows with one set
+    component_id is the smallest doc_id that links reach; an empty set is a
+    component of its own.  Null texts are empty; rows with one set
     are one class; a null doc_id is never the smallest unless nothing else is;
     an empty table gives an empty one; other columns are not read.
     """
-    labelled, links = _labelled(docs, n, percent)
+    labelled = _labelled(docs, n, percent)
     smallest = labelled.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
-    out = labelled.join(smallest, "comp", "left")
-    if links is not None:
-        degree = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-        out = out.join(degree, "c", "left")
-    else:
-        out = out.withColumn("n_links", F.lit(0).cast("long"))
     own = F.when(F.col("n") > 0, F.coalesce("smallest", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return labelled.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, null_ids_stay: bool = True) -> DataFrame:
@@ -262,8 +286,7 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, null_ids_s
     alike in both, the one whose columns are smallest as JSON.  With
     null_ids_stay, rows with a null doc_id stay as well and are not counted.
     """
-    labelled, _ = _labelled(docs, n, percent)
-    rows = labelled.filter("n > 0")
+    rows = _labelled(docs, n, percent).filter("n > 0")
     if null_ids_stay:
         rows = rows.filter("doc_id is not null")
     # Rows of one doc_id and text are one key; they have one class and so one component.
