@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrain.plans import basic, composite, more, rules_queries, text_queries, window_queries
+from tidegrain.plans import basic, composite, forecasts, more, rules_queries, text_queries, window_queries
 
-MODULES = (window_queries, basic, text_queries, rules_queries, composite, more)
+MODULES = (window_queries, basic, text_queries, rules_queries, composite, more, forecasts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
