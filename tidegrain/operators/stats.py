@@ -34,6 +34,21 @@ def volatility(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return base.withColumn("cv", cv).withColumn("contaminated", F.col("cv") > 0.40).withColumn("deviation", F.when(mean == 0, F.lit(None)).when(floor, 0.10 * mean).otherwise(F.col("sigma")))
 
 
+def with_volatility(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds volatility()'s cv, contaminated and deviation to every row, over one partitioning by the keys."""
+    w, v = Window.partitionBy(*keys), F.col(value).cast("double")
+    q = df.withColumn("_q", F.percentile(value, [0.25, 0.5, 0.75]).over(w))
+    spread = F.col("_q")[2] - F.col("_q")[0]
+    inside = (v >= F.col("_q")[0] - 1.5 * spread) & (v <= F.col("_q")[2] + 1.5 * spread) & (v >= 0.25 * F.col("_q")[1])
+    own = F.when(inside, F.col(value))
+    s = q.withColumns({"_n": F.count(own).over(w), "_total": F.sum(own).over(w), "_sigma": F.round(F.stddev_samp(own.cast("double")).over(w), 6)})
+    mean = F.col("_total") / F.nullif(F.col("_n"), F.lit(0))
+    cv = F.round(F.col("_sigma") / F.nullif(mean, F.lit(0.0)), 6)
+    floor = F.col("_sigma").isNull() | (F.col("_sigma") == 0) | (F.col("cv") < 0.10)
+    out = s.withColumn("cv", cv).withColumn("contaminated", F.col("cv") > 0.40).withColumn("deviation", F.when(mean == 0, F.lit(None)).when(floor, 0.10 * mean).otherwise(F.col("_sigma")))
+    return out.drop("_q", "_n", "_total", "_sigma")
+
+
 def upper_median(value: str) -> Column:
     """Of a group's values, the one at position n div 2 + 1 in order."""
     v = F.array_sort(F.collect_list(value))

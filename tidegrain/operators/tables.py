@@ -52,9 +52,19 @@ def updated(df: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequenc
 
 
 def without(df: DataFrame, keys_table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows for which no row of keys_table has equal keys (NOT EXISTS): a null equals nothing, so rows with one stay."""
     return df.join(keys_table.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def not_in(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """SQL's NOT IN: no row if values has a null; a row with a null key only if values has no row at all."""
+    seen = values.select(F.col(key).alias("_v"))
+    facts = seen.agg(F.count("*").alias("n"), F.count_if(F.col("_v").isNull()).alias("nulls"))
+    n, nulls = facts.select("n").scalar(), facts.select("nulls").scalar()
+    out = df.join(seen.filter("_v is not null").distinct(), F.col(key) == F.col("_v"), "left_anti")
+    return out.filter((nulls == 0) & (F.col(key).isNotNull() | (n == 0)))
+
+
 def cascade(df: DataFrame, levels: Sequence[tuple[DataFrame, Sequence[str]]], value: str, to: str, level: str) -> DataFrame:
     """First value found in level tables, each joined on its keys, and the number of that level (from 1)."""
     names = []
@@ -86,7 +96,8 @@ def entity_page(df: DataFrame, key: str, number: int = 1, size: int = 50) -> Dat
 def candidates(df: DataFrame, known: DataFrame, key: str, tries: Mapping[int, Column]) -> DataFrame:
     """Each row with the first of its candidate keys that known has (null if none)."""
     own = df.columns
-    ranked = df.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), c.alias("key")) for i, c in tries.items()])).alias("_c"))
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    ranked = df.select("_row", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), c.alias("key")) for i, c in tries.items()])).alias("_c"))
     hit = ranked.join(known.select(F.col(key).alias("_known")).distinct(), F.col("_c.key") == F.col("_known"))
-    best = hit.groupBy(*own).agg(F.min_by("_known", "_c.rank").alias("found"))
-    return df.join(best, own, "left")
+    best = hit.groupBy("_row").agg(F.min_by("_known", "_c.rank").alias("found"))
+    return df.join(best, "_row", "left").select(*own, "found")

@@ -59,13 +59,13 @@ def interpolated(df: DataFrame, keys: Sequence[str], order: str, value: str, to:
 def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], low: Column, high: Column, order: Sequence[Column]) -> DataFrame:
     """Each left row with the first right row (by order) of its keys between low and high; left rows alone stay.
 
-    low and high are conditions over both sides' columns.  Left rows must be
-    distinct; the join is an equi-join on the keys.
+    low and high are conditions over both sides' columns; the join is an
+    equi-join on the keys.  Nulls and repeated rows on the left stay as they are.
     """
-    own = left.columns
-    both = left.join(right, list(keys), "left").filter((low & high) | F.lit(False))
-    best = top_per_key(both, own, order)
-    return left.join(best, own, "left")
+    own, more = left.columns, [c for c in right.columns if c not in keys]
+    row = left.withColumn("_row", F.monotonically_increasing_id())
+    best = top_per_key(row.join(right, list(keys)).filter(low & high), ["_row"], order).select("_row", *more)
+    return row.join(best, "_row", "left").select(*own, *more)
 
 
 def previous_period(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:

@@ -110,9 +110,9 @@ def c4_month_grid(spark, sf_dir):
     return tables.month_grid(fact(spark, sf_dir).select(*KEY).distinct())
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def c5_not_exists(spark, sf_dir):
-    return tables.without(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+    return tables.without(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
 
 
 @query("WITH fact AS FACT, g AS (SELECT product, uf, CAST(m AS INTEGER) AS mes FROM (SELECT DISTINCT product, uf FROM fact), range(1, 13) r(m)) SELECT g.* FROM g LEFT JOIN (SELECT DISTINCT product, uf, mes FROM fact WHERE ano = 2001) f ON f.product = g.product AND f.uf = g.uf AND f.mes = g.mes WHERE f.mes IS NULL")
@@ -121,9 +121,16 @@ def c6_missing_months(spark, sf_dir):
     return tables.missing(tables.month_grid(f.select(*KEY).distinct()), f.filter("ano = 2001"), [*KEY, "mes"])
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("WITH k AS (SELECT nullif(s_suppkey, 1) AS k FROM supplier), a AS (SELECT s_suppkey AS v FROM supplier WHERE s_suppkey % 3 = 0), b AS (SELECT nullif(v, 3) AS v FROM a) SELECT 'plain' AS kind, k FROM k WHERE k NOT IN (SELECT v FROM a) UNION ALL SELECT 'null inside', k FROM k WHERE k NOT IN (SELECT v FROM b) UNION ALL SELECT 'none', k FROM k WHERE k NOT IN (SELECT v FROM a WHERE v < 0)")
 def c7_not_in(spark, sf_dir):
-    return tables.without(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")), ["s_suppkey"]).select("s_suppkey")
+    """NOT IN with a null key on the left, with a null among the values (no rows), and without values (all rows)."""
+    s = table(spark, sf_dir, "supplier")
+    k = s.select(F.nullif(F.col("s_suppkey"), F.lit(1)).alias("k"))
+    a = s.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("k"))
+    b = a.select(F.nullif(F.col("k"), F.lit(3)).alias("k"))
+    parts = (("plain", a), ("null inside", b), ("none", a.filter("k < 0")))
+    out = [tables.not_in(k, v, "k").select(F.lit(name).alias("kind"), "k") for name, v in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")

@@ -25,11 +25,10 @@ def seasonality(df: DataFrame) -> DataFrame:
     Under six observations, or with a contaminated series, the status is
     yellow; else the sensitive band around the trailing mean decides.
     """
-    t = windows.trailing(df, KEY, ["periodo"], "preco_q")
-    v = stats.volatility(df, KEY, "preco_q").select(*KEY, "cv", "contaminated", "deviation")
+    t = stats.with_volatility(windows.trailing(df, KEY, ["periodo"], "preco_q"), KEY, "preco_q")
     price, mean = F.col("preco_q") / F.lit(10000.0), F.col("total") / F.col("n") / F.lit(10000.0)
     status = F.when((F.col("n") < 6) | F.coalesce("contaminated", F.lit(False)) | F.col("deviation").isNull(), rules.YELLOW).otherwise(F.coalesce(rules.sensitive(price, mean, F.col("cv")), F.lit(rules.YELLOW)))
-    return t.join(v, KEY, "left").withColumn("status", status)
+    return t.withColumn("status", status)
 
 
 LIVE = f"""s AS (SELECT *, {TRAILING} FROM fact {NAMED}), {VOLATILITY},
@@ -64,6 +63,14 @@ def modal_baseline(df: DataFrame, years: tuple[int, ...]) -> DataFrame:
     return m.select(*KEY, "mes", "status", (F.col("freq") * 100.0 / F.col("total")).alias("confidence"))
 
 
+def modal_pair(df: DataFrame, first: tuple[int, ...], second: tuple[int, ...]) -> DataFrame:
+    """modal_baseline() over two sets of years at once: product, uf, mes, s1, c1, s2 and c2, for months that either has."""
+    counts = df.filter(F.col("ano").isin(*first, *second) & F.col("status").isNotNull()).groupBy(*KEY, "mes", "status").agg(*[F.count_if(F.col("ano").isin(*y)).alias(k) for y, k in ((first, "k1"), (second, "k2"))])
+    best = lambda k: F.min(F.when(F.col(k) > 0, F.struct((-F.col(k)).alias("k"), "status")))
+    both = counts.groupBy(*KEY, "mes").agg(best("k1").alias("b1"), F.sum("k1").alias("t1"), best("k2").alias("b2"), F.sum("k2").alias("t2"))
+    return both.select(*KEY, "mes", *[c for i in (1, 2) for c in (F.col(f"b{i}.status").alias(f"s{i}"), (F.col(f"b{i}.k") * -100.0 / F.nullif(F.col(f"t{i}"), F.lit(0))).alias(f"c{i}"))])
+
+
 MODAL = "SELECT product, uf, mes, status, k * 100.0::DOUBLE / t AS confidence FROM (SELECT *, CAST(sum(k) OVER (PARTITION BY product, uf, mes) AS BIGINT) AS t FROM (SELECT product, uf, mes, status, count(*) AS k FROM live WHERE ano IN ({}) GROUP BY ALL)) QUALIFY row_number() OVER (PARTITION BY product, uf, mes ORDER BY k DESC, status) = 1"
 
 
@@ -74,9 +81,7 @@ def j6_modal_baseline(spark, sf_dir):
 
 @query(f"WITH fact AS FACT, {LIVE}, a AS ({MODAL.format('1998, 1999')}), b AS ({MODAL.format('1999, 2000')}) SELECT coalesce(a.product, b.product) AS product, coalesce(a.uf, b.uf) AS uf, coalesce(a.mes, b.mes) AS mes, CASE WHEN a.status <> b.status THEN 'AMARELO' ELSE coalesce(b.status, a.status) END AS status, round(CASE WHEN a.status IS NOT NULL AND b.status IS NOT NULL THEN least(a.confidence * 0.6 + b.confidence * 0.4, CASE WHEN a.status = b.status THEN 100 ELSE 40 END) WHEN b.status IS NOT NULL THEN b.confidence ELSE a.confidence * 0.5 END, 4) AS confidence FROM a FULL JOIN b ON a.product = b.product AND a.uf = b.uf AND a.mes = b.mes")
 def j8_weighted_baseline(spark, sf_dir):
-    s = seasonality(fact(spark, sf_dir))
-    one = lambda years, i: modal_baseline(s, years).select(*KEY, "mes", F.col("status").alias(f"s{i}"), F.col("confidence").alias(f"c{i}"))
-    j = one((1998, 1999), 1).join(one((1999, 2000), 2), [*KEY, "mes"], "full")
+    j = modal_pair(seasonality(fact(spark, sf_dir)), (1998, 1999), (1999, 2000))
     s1, c1, s2, c2 = (F.col(x) for x in ("s1", "c1", "s2", "c2"))
     return j.select(*KEY, "mes", rules.agreement(s1, s2).alias("status"), F.round(rules.agreement_confidence(s1, c1, s2, c2), 4).alias("confidence"))
 
@@ -148,11 +153,11 @@ def j17_projection(spark, sf_dir):
 def anchored(df: DataFrame, year: int) -> DataFrame:
     """The newest price of each series and month in three years, its age, and the mean of the twelve periods before it."""
     ref = windows.calendar_trailing(df, KEY, "periodo", "preco_q", -12, -1)
+    ref = stats.with_volatility(ref, KEY, "preco_q")
     best = windows.top_per_key(ref.filter(F.col("ano").between(year - 2, year)), [*KEY, "mes"], [F.desc("ano")])
-    v = stats.volatility(df, KEY, "preco_q").select(*KEY, "cv")
     status = F.when(F.col("n") >= 6, rules.sensitive(F.col("preco_q") / F.lit(10000.0), F.col("total") / F.col("n") / F.lit(10000.0), F.col("cv")))
     kind = F.when(F.col("ano") == year, "REAL_ATUAL").otherwise("HISTORICO_BASE")
-    return best.join(v, KEY, "left").select(*KEY, "mes", "ano", "preco_q", (F.lit(year) - F.col("ano")).alias("age"), kind.alias("kind"), "n", status.alias("status"))
+    return best.select(*KEY, "mes", "ano", "preco_q", (F.lit(year) - F.col("ano")).alias("age"), kind.alias("kind"), "n", status.alias("status"))
 
 
 ANCHOR = f"""{VOLATILITY}, ref AS (SELECT a.product, a.uf, a.mes, a.ano, a.periodo, a.preco_q, count(b.preco_q) AS n, CAST(sum(b.preco_q) AS BIGINT) AS s FROM fact a LEFT JOIN fact b ON a.product = b.product AND a.uf = b.uf AND b.periodo BETWEEN a.periodo - 12 AND a.periodo - 1 GROUP BY a.product, a.uf, a.mes, a.ano, a.periodo, a.preco_q),

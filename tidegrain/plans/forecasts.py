@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrain.functions import rules
 from tidegrain.operators import stats, tables, windows
-from tidegrain.plans.composite import HISTORY, KEY, LIVE, MODAL, MONTH, PERIOD, YEAR, _factor, modal_baseline, seasonal_factor, seasonality
+from tidegrain.plans.composite import HISTORY, KEY, LIVE, MODAL, MONTH, PERIOD, YEAR, _factor, modal_baseline, modal_pair, seasonal_factor, seasonality
 from tidegrain.plans.facts import FACT, fact
 from tidegrain.plans.kit import registrar
 from tidegrain.plans.rules_queries import anomalies
@@ -110,8 +110,9 @@ SELECT product, uf, mes, p / 10000.0 AS price, r / 10000.0 AS reference, CASE WH
 )
 def j14_sandwich_projection(spark, sf_dir):
     """Projected prices of every month without one, products without history by a parent; status by 25 %."""
-    f = _observed(spark, sf_dir)
-    out = with_proxies(projected(f, YEAR, MONTH), f, YEAR, MONTH)
+    # Both are read several times; what an executor takes with it is computed again.
+    f = _observed(spark, sf_dir).persist()
+    out = with_proxies(projected(f, YEAR, MONTH).persist(), f, YEAR, MONTH)
     p, r = F.col("price_q"), F.col("reference_q")
     return out.select(*KEY, "mes", (p / F.lit(10000.0)).alias("price"), (r / F.lit(10000.0)).alias("reference"), F.coalesce(rules.band(p, r, 25), F.lit(rules.YELLOW)).alias("status"), "method", "confidence")
 
@@ -121,8 +122,7 @@ def weighted_forecast(s: DataFrame, year: int, period: int) -> DataFrame:
 
     s is seasonality()'s result.  An observed month always beats its forecast.
     """
-    one = lambda years, i: modal_baseline(s, years).select(*KEY, "mes", F.col("status").alias(f"s{i}"), F.col("confidence").alias(f"c{i}"))
-    j = one((year - 3, year - 2), 1).join(one((year - 2, year - 1), 2), [*KEY, "mes"], "full")
+    j = modal_pair(s, (year - 3, year - 2), (year - 2, year - 1))
     s1, c1, s2, c2 = (F.col(x) for x in ("s1", "c1", "s2", "c2"))
     base = j.select(*KEY, "mes", rules.agreement(s1, s2).alias("status"), F.round(rules.agreement_confidence(s1, c1, s2, c2), 4).alias("confidence"))
     grid = tables.month_grid(base.select(*KEY).distinct()).join(base, [*KEY, "mes"], "left")

