@@ -100,15 +100,23 @@ def test_ngram_prefixes_meet():
 def test_ngram_filter_lets_all_wanted_rows_through(spark):
     rows = spark.range(20_000).select(F.xxhash64("id").alias("text_key"), F.col("id").alias("extra"))
     keys = rows.filter("extra % 10 = 0").select(F.col("text_key").alias("key"))
-    got = {r.extra for r in ngram_join.wanted(rows, keys, 2000).collect()}
+    got = {r.extra for r in ngram_join.wanted(rows, "text_key", keys, 2000).collect()}
     assert got >= set(range(0, 20_000, 10)) and len(got) < 3000
-    assert ngram_join.wanted(rows, keys.limit(0), 0).isEmpty()
+    assert ngram_join.wanted(rows, "text_key", keys.limit(0), 0).isEmpty()
 
 
 def test_ngram_frequency_levels(spark):
-    counts = spark.createDataFrame([(1, 400), (1, 400), (2, 3), (70, 100)], "a long, b long")
-    levels = ngram_join.frequency_levels(counts, 128)
-    assert levels[1] > levels[70] > levels[2] == levels[0] == 0
+    r = random.Random(8)
+    data = [(i, " ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(60))) for i in range(50)] + [(100 + i, "the same four words") for i in range(900)]
+    buckets = 2 * ngram_join.BLOCK
+    exact = np.zeros(buckets, np.int64)
+    for _, t in data:
+        np.add.at(exact, (ngram_join.shingle_set(t) & np.uint64(buckets - 1)).astype(np.int64), 1)
+    counts = ngram_join.survey(docs_of(spark, data).repartition(3), buckets).filter("kind = 1")
+    levels = ngram_join.frequency_levels(counts, buckets)
+    assert levels.max() == levels[exact.argmax()] > 0
+    assert (levels == ngram_join._levels(exact, exact.mean())).all()
+    assert not ngram_join.frequency_levels(counts.limit(0), buckets).any()
 
 
 @pytest.mark.parametrize("window", [1, 5, 35])

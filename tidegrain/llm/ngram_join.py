@@ -20,6 +20,7 @@ components is compared, so no link between components is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ HUB_ROUNDS = 2
 HUB_MEMBERS = 200
 #: Shingle frequencies are counted in a bucket for each so many bytes of text, within these bounds; a level is one byte.
 BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1024, 1 << 16, 1 << 24
+#: Buckets whose counts a task sends as one packed row.
+BLOCK = 1 << 15
 #: Words of 64 bits of the filter that rows to fetch must pass: one for each so many keys, within these bounds.
 KEYS_PER_WORD, LEAST_WORDS, MOST_WORDS = 8, 1 << 10, 1 << 21
 
@@ -67,13 +70,23 @@ def _levels(counts: np.ndarray, mean: float) -> np.ndarray:
     return np.where(ratio <= 1.1, 0, np.clip(np.ceil(4 * np.log2(np.maximum(ratio, 1))), 1, 63)).astype(np.uint8)
 
 
-def frequency_levels(frequencies: DataFrame, buckets: int) -> np.ndarray:
-    """Levels of all buckets from rows a (bucket) and b (count); only those above the mean come to the driver."""
-    sums = frequencies.groupBy("a").agg(F.sum("b").alias("b"))
-    total = frequencies.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n")).first()["n"]
-    table = sums.filter(F.col("b") > F.lit(1.1 * total / buckets)).toArrow()
+def frequency_levels(counts: DataFrame, buckets: int) -> np.ndarray:
+    """Levels of all buckets from rows a (block), b (its total) and packed counts; only buckets above the mean come to the driver."""
+    mean = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n")).first()["n"] / buckets
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, packed in zip(b["a"].tolist(), b["packed"], strict=True):
+                own = np.frombuffer(zlib.decompress(packed), np.int32)
+                sums[block] = sums[block] + own if block in sums else own.astype(np.int64)
+        for block, n in sums.items():
+            high = np.flatnonzero(n > 1.1 * mean)
+            yield pd.DataFrame({"bucket": block * BLOCK + high, "n": n[high]})
+
+    table = counts.select("a", "packed").repartition("a").mapInPandas(add, "bucket long, n long").toArrow()
     levels = np.zeros(buckets, np.uint8)
-    levels[table.column("a").to_numpy()] = _levels(table.column("b").to_numpy(), total / buckets)
+    levels[table.column("bucket").to_numpy()] = _levels(table.column("n").to_numpy(), mean)
     return levels
 
 
@@ -96,7 +109,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def survey(docs: DataFrame, buckets: int, n: int = WORDS) -> DataFrame:
-    """Rows of members (kind 0: a doc_id, b class, n set size, text_key) and of frequencies (kind 1: a bucket, b count)."""
+    """Rows of members (kind 0: a doc_id, b class, n set size, text_key) and of frequencies (kind 1: a block of buckets, b their total, packed counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(buckets, np.int32)
@@ -105,21 +118,21 @@ def survey(docs: DataFrame, buckets: int, n: int = WORDS) -> DataFrame:
             for s in sets:
                 np.add.at(counts, (s & np.uint64(buckets - 1)).astype(np.int64), 1)
             # Sets go as they come; the counts once, at the end of the task.
-            yield pd.DataFrame({"kind": 0, "a": b["doc_id"], "b": [class_of(s) for s in sets], "n": [len(s) for s in sets], "text_key": b["text_key"]})
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), 100_000):
-            yield pd.DataFrame({"kind": 1, "a": some[i : i + 100_000], "b": counts[some[i : i + 100_000]], "n": 0, "text_key": 0})
+            yield pd.DataFrame({"kind": 0, "a": b["doc_id"], "b": [class_of(s) for s in sets], "n": [len(s) for s in sets], "text_key": b["text_key"], "packed": None})
+        for block, own in enumerate(counts.reshape(-1, BLOCK)):
+            if own.any():
+                yield pd.DataFrame({"kind": [1], "a": [block], "b": [int(own.sum())], "n": [0], "text_key": [0], "packed": [zlib.compress(own.tobytes(), 1)]})
 
-    return _rows(docs).mapInPandas(run, "kind int, a long, b long, n long, text_key long")
+    return _rows(docs).mapInPandas(run, "kind int, a long, b long, n long, text_key long, packed binary")
 
 
-PREFIXES = "token long, pos int, c long, n int, other array<int>, third array<int>"
+PREFIXES = "token long, pos int, c long, n int, other array<short>, third array<short>"
 
 
 def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
     """For each class: token, its place and the set size for each of the first order's prefix, and one row with the other orders' prefixes.
 
-    Of the other orders 32 bits of each token are kept, which can only let more pairs through.
+    Of the other orders 16 bits of each token are kept, which can only let more pairs through.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +145,7 @@ def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                 if len(s) and c not in seen:
                     seen.add(c)
                     out.append((prefix(s, levels.value, 0, percent).view(np.int64), c, len(s)))
-                    rest.append([prefix(s, levels.value, o, percent).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)])
+                    rest.append([prefix(s, levels.value, o, percent).astype(np.uint16).view(np.int16) for o in range(1, ORDERS)])
             if len(seen) > 200_000:
                 seen.clear()
             if out:
@@ -150,14 +163,17 @@ def meeting(pairs: DataFrame, others: DataFrame) -> DataFrame:
     return both.filter(F.arrays_overlap("other", "hub_other") & F.arrays_overlap("third", "hub_third")).select("hub", "c")
 
 
-def wanted(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
-    """Rows whose text_key is among keys, and few others: a filter of bounded size goes to all tasks, and no text is shuffled."""
+def wanted(rows: DataFrame, column: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """Rows whose hash in column is among keys (column key), and few others.
+
+    A filter of bounded size goes to all tasks and no row is shuffled.
+    """
     words = min(MOST_WORDS, max(LEAST_WORDS, 1 << (n_keys // KEYS_PER_WORD).bit_length()))
     at = lambda key: F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words - 1))
     bit = lambda key: F.pmod(key, F.lit(64)).cast("int")
-    mask = keys.select(at(F.col("key")).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("key"))).alias("flag")).groupBy("word").agg(F.bit_or("flag").alias("flags"))
-    passed = rows.join(F.broadcast(mask), at(F.col("text_key")) == F.col("word"))
-    return passed.filter(F.getbit(F.col("flags"), bit(F.col("text_key"))) == 1).select(rows.columns)
+    mask = keys.select(at(F.col("key")).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("key"))).alias("flag")).groupBy("_word").agg(F.bit_or("flag").alias("_flags"))
+    passed = rows.join(F.broadcast(mask), at(F.col(column)) == F.col("_word"))
+    return passed.filter(F.getbit(F.col("_flags"), bit(F.col(column))) == 1).select(rows.columns)
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -170,7 +186,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part"), F.lit(False).alias("is_hub"), "c")
     hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"), F.col("hub").alias("c"))
     roles = stored(members.unionByName(hubs).join(classes, "c").withColumnRenamed("text_key", "key"))
-    rows = wanted(_rows(docs), roles.select("key"), roles.count()).select("text_key", F.coalesce("doc_id", F.lit(-1)).alias("own_id"), "text")
+    rows = wanted(_rows(docs), "text_key", roles.select("key"), roles.count()).select("text_key", F.coalesce("doc_id", F.lit(-1)).alias("own_id"), "text")
     both = rows.join(roles, (F.col("text_key") == F.col("key")) & (F.col("own_id") == F.col("first_id"))).select("hub", "part", "is_hub", "c", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,8 +250,8 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     prefixes = stored(tokens(docs, levels, n, percent))
     by_token = prefixes.filter("pos >= 0").select("token", "pos", "c", "n")
-    dense = by_token.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token")
-    shared = stored(by_token.join(dense, "token"))
+    dense = stored(by_token.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("token"))
+    shared = stored(wanted(by_token, "token", dense.select(F.col("token").alias("key")), dense.count()).join(dense, "token"))
     labels = stored(classes.join(shared.select("c").distinct(), "c", "left_semi").select("c", F.col("c").alias("comp")))
     # Every row of a class gives the same prefixes.
     others = stored(prefixes.filter("pos < 0").select("c", "other", "third").join(labels, "c", "left_semi").groupBy("c").agg(F.first("other").alias("other"), F.first("third").alias("third")))
