@@ -12,6 +12,7 @@ are never loaded, their fallback.  Neither recurses.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -45,6 +46,12 @@ DEEPEST = 512
 #: Deeper lists are indented no further.
 DEEPEST_INDENT = 40
 
+#: Style rules that hide: lists of plain tag, class and id selectors; others are not followed.
+_RULE = re.compile(r"([^{}@;]*)\{([^{}]*)\}")
+_AT_BLOCK = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
+_SELECTOR = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?").fullmatch
+
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -81,7 +88,8 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         self._last = node
-        if tag not in VOID and len(self.open) < DEEPEST:
+        # What is hidden is opened at any depth, so that its text does not fall to a shown parent.
+        if tag not in VOID and (len(self.open) < DEEPEST or len(self.open) == DEEPEST and _hidden(node)):
             self.open.append(node)
 
     def handle_starttag(self, tag, attrs):
@@ -218,28 +226,90 @@ class Flow:
         return self.lines[a:b]
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned), padded so that columns line up."""
-    width: dict[int, int] = {}
+def _cells_wide(text: str) -> int:
+    """Columns of a fixed-width display: wide characters take two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Column, lines and columns spanned of each cell; a cell that spans rows leaves its columns empty below."""
+    out, taken = [], {}
     for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), *(len(x) for x in lines or [""]))
+        at, cells, below = 0, [], {}
+        for lines, span, down in row:
+            while taken.get(at, 0):
+                at += 1
+            cells.append((at, lines, span))
+            for c in range(at, at + span):
+                below[c] = down - 1
             at += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n for c, n in below.items() if n > 0}
+        out.append(cells)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows spanned), padded so that columns line up."""
+    placed = _placed(rows)
+    width: dict[int, int] = {}
+    for row in placed:
+        for at, lines, span in row:
+            for c in range(at, at + span):
+                width.setdefault(c, 0)
+            if span == 1:
+                width[at] = max(width[at], *(_cells_wide(x) for x in lines or [""]))
+    for row in placed:
+        for at, lines, span in row:
+            # The last column takes what a spanning cell needs beyond its columns.
+            lacking = max(_cells_wide(x) for x in lines or [""]) - sum(width[c] for c in range(at, at + span)) - 3 * (span - 1)
+            if span > 1 and lacking > 0:
+                width[at + span - 1] += lacking
     out = []
-    for row in rows:
-        tall = max([len(lines) for lines, _ in row] or [0])
+    for row in placed:
+        tall = max([len(lines) for _, lines, _ in row] or [0])
         for i in range(tall):
-            cells, at = [], 0
-            for lines, span in row:
-                own = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                cells.append((lines[i] if i < len(lines) else "").ljust(own))
-                at += span
+            cells, column = [], 0
+            for at, lines, span in row:
+                cells += [" " * width.get(c, 0) for c in range(column, at)]
+                own = sum(width[c] for c in range(at, at + span)) + 3 * (span - 1)
+                text = lines[i] if i < len(lines) else ""
+                cells.append(text + " " * (own - _cells_wide(text)))
+                column = at + span
             out.append(" | ".join(cells).rstrip())
     return out
 
 
+def hiding_selectors(root: Node) -> tuple[frozenset, ...]:
+    """Tags, classes, ids, and tags with a class or id that the page's style sheets give display: none."""
+    found: tuple[set, ...] = (set(), set(), set(), set())
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            continue
+        if x.tag == "style":
+            sheet = _AT_BLOCK.sub("", _COMMENT.sub("", "".join(c for c in x.children if isinstance(c, str))))
+            for names, body in _RULE.findall(sheet):
+                if _NONE.search(body):
+                    for name in map(str.strip, names.split(",")):
+                        if name and _SELECTOR(name):
+                            kind = 1 if name[0] == "." else 2 if name[0] == "#" else 3 if "." in name or "#" in name else 0
+                            found[kind].add(name[1:] if kind in (1, 2) else name.lower() if kind == 0 else name)
+            continue
+        stack.extend(x.children)
+    return tuple(map(frozenset, found))
+
+
+def _styled_away(node: Node, hiding: tuple[frozenset, ...]) -> bool:
+    tags, classes, ids, both = hiding
+    own, name = node.attrs.get("class", "").split(), node.attrs.get("id", "")
+    if node.tag in tags or name in ids or any(c in classes for c in own):
+        return True
+    return bool(both) and any(f"{node.tag}{x}" in both for x in (f"#{name}", *(f".{c}" for c in own)))
+
+
 def _hidden(node: Node) -> bool:
     a = node.attrs
     return node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or bool(_NONE.search(a.get("style", "")))
@@ -305,6 +375,8 @@ def _number(value: str, default: int, most: int) -> int:
 def render(root: Node) -> str:
     """Visible text of a tree."""
     page = Flow()
+    hiding = hiding_selectors(root)
+    styled = any(hiding)
     flows, tables, lists = [page], [], []
     # Of a drawing, only text elements and foreign objects show their strings.
     stack = [(root, False, True, False, False)]
@@ -323,7 +395,7 @@ def render(root: Node) -> str:
         if leaving:
             if tag in ("td", "th") and tables and tables[-1][1] is not None:
                 flows.pop()
-                tables[-1][1].append((flow.result(), max(1, _number(node.attrs.get("colspan", ""), 1, 100))))
+                tables[-1][1].append((flow.result(), max(1, _number(node.attrs.get("colspan", ""), 1, 100)), max(1, _number(node.attrs.get("rowspan", ""), 1, 1000))))
             elif tag == "tr" and tables:
                 if tables[-1][1]:
                     tables[-1][0].append(tables[-1][1])
@@ -347,7 +419,7 @@ def render(root: Node) -> str:
                 flow.end()
                 flow.gap = flow.gap or tag in SPACED
             continue
-        if _hidden(node) or drawing and (tag in UNDRAWN or node.attrs.get("display", "").strip() == "none"):
+        if _hidden(node) or styled and _styled_away(node, hiding) or drawing and (tag in UNDRAWN or node.attrs.get("display", "").strip() == "none"):
             continue
         seen = _VISIBILITY.search(node.attrs.get("style", "") or drawing and f"visibility:{node.attrs.get('visibility', '')}" or "")
         shown = seen[1].lower() == "visible" if seen else shown
@@ -390,6 +462,7 @@ def render(root: Node) -> str:
             if tag == "li":
                 mark = "- "
                 if lists and lists[-1][0] is not None:
+                    lists[-1][0] = _number(node.attrs.get("value", ""), lists[-1][0], 10**8)
                     mark = f"{lists[-1][0]}. "
                     lists[-1][0] += 1
                 if lists:
