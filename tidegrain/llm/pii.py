@@ -2,7 +2,9 @@
 
 Kinds are email, ip, card (Luhn) and phone, as the base rules define them, and
 iban (mod-97), which the method adds.  Words near a span raise or lower its
-score; the score never removes a base span.  All scans are linear in the text.
+score; a span of the method must reach METHOD_SCORE, so a counter word without
+a context word drops it.  The score never removes a base span.  All scans are
+linear in the text.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ IBAN_SIZES = {
 #: Score of a confirmed span, and what a context word adds to it or a counter word takes.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8}
 CONTEXT_GAIN = 0.2
+#: Score that spans of kinds beyond the base ones must reach.
+METHOD_SCORE = 0.7
 CONTEXT_CHARS = 40
 CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|kontakt|correo|courriel|write)\b"),
@@ -113,8 +117,8 @@ def phones(text: str) -> list[tuple[int, int]]:
 def ibans(text: str) -> list[tuple[int, int]]:
     """Spans from a country code to the end of a word that pass mod-97.
 
-    The country's length is tried first, then every other end, longest first;
-    what follows an IBAN may itself look like a part of it.
+    Countries of the registry have one length each; for others every end is
+    tried, longest first.  What follows an IBAN may itself look like a part of it.
     """
     out, last = [], 0
     for m in _IBAN.finditer(text):
@@ -123,8 +127,8 @@ def ibans(text: str) -> list[tuple[int, int]]:
             continue
         ends = [(e.end(), text[m.start() : e.end()].replace(" ", "")) for e in _IBAN_END.finditer(text, m.end(), rest.end() + 1) if e.end() <= rest.end()]
         usual = IBAN_SIZES.get(m[0][:2])
-        ends.sort(key=lambda x: (len(x[1]) != usual, -len(x[1])))
-        end = next((e for e, iban in ends if mod97(iban)), None)
+        ends.sort(key=lambda x: -len(x[1]))
+        end = next((e for e, iban in ends if len(iban) == (usual or len(iban)) and mod97(iban)), None)
         if end:
             out.append((m.start(), end))
             last = end
@@ -137,7 +141,8 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     if _ANY_DIGIT(text):
         for kind, scan in (("ip", ips), ("card", cards), ("phone", phones), ("iban", ibans)):
             found += [(kind, *x) for x in scan(text)]
-    return [(k, a, b, _score(text, k, a, b)) for k, a, b in found]
+    scored = [(k, a, b, _score(text, k, a, b)) for k, a, b in found]
+    return [x for x in scored if x[0] in BASE or x[3] >= METHOD_SCORE]
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
