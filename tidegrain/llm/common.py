@@ -62,6 +62,11 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.llm.common import forget, need, small_batches, stored
+from tidegrain.llm.common import forget, need, quoted, small_batches, stored
 from tidegrain.llm.substring import run_hashes
 
 WORDS = 4
@@ -314,6 +314,6 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, null_ids_s
     text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("key_id")) & (text_key == F.col("key_text"))
     once = docs.join(others, same, "left_anti")
-    whole = F.struct(*[docs[c] for c in docs.columns])
+    whole = F.struct(*[docs[quoted(c)] for c in docs.columns])
     again = docs.join(several, same, "left_semi").groupBy(docs["doc_id"].cast("long").alias("key_id"), text_key.alias("key_text")).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
     return once.unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
