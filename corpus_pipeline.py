@@ -1,4 +1,8 @@
-"""Corpus preparation in five stages, each over what the one before it kept."""
+"""Corpus preparation in five stages, each over what the one before it kept.
+
+Stages take any number of further columns, whatever their names, and empty
+tables.  Rows with a null doc_id are rows like others.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +14,31 @@ from tidegrain.llm import bpe, common, decontaminate, ngram_join, pii, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio; null and empty texts fail, repeated rows are judged each."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity links: five words, 0.8."""
+    """One row of each group that n-gram similarity links (five words, 0.8): the smallest doc_id, then the smallest text hash.
+
+    Of repeated rows one stays; rows without words are groups of their own.
+    """
     return ngram_join.keep_one(docs, n=5, percent=80, null_ids_stay=False)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; null texts stay, items without an id are searched as well."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind, and n_chars as it then is."""
+    """Documents with personal data replaced by its kind, and n_chars as it then is (null for null texts)."""
     masked = pii.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
+    """Token counts and digests of the ids and of what they decode to; null and empty texts have no ids."""
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
