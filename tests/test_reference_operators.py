@@ -136,7 +136,41 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k"], ["t"], check, seen.append).awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/table/v2")).collect()))
+    got = sorted(map(tuple, ingest.current(spark, str(tmp_path / "out")).select("k", "v", "t").collect()))
     batch = sorted(map(tuple, ingest.merged(None, check(spark.createDataFrame(rows, schema))[0], ["k"], ["t"]).select("k", "v", "t").collect()))
     assert got == batch == [(1, "c", 2), (2, "d", 3)] and seen == [0, 1, 2]
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 1
+
+
+def test_ingest_rewrites_touched_parts_only(spark, tmp_path):
+    schema = "k long, v string, t long"
+    source, out, done = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    check = lambda b: (b.filter("v is not null"), b.filter("v is null"))
+    assert ingest.current(spark, out) is None
+    batches = [[(k, f"a{k}", 1) for k in range(200)], [(7, "b7", 2), (7, None, 3)], [(7, "c7", 4)], [(7, "old", 0), (8, "d8", 5)], [(7, "e7", 6)]]
+    expected = {}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        ingest.start(spark.readStream.schema(schema).parquet(str(source)), out, done, ["k"], ["t"], check, parts=8).awaitTermination()
+        for k, v, t in rows:
+            if v is not None:
+                expected[k] = (k, v, t)
+        assert sorted(map(tuple, ingest.current(spark, out).collect())) == sorted(expected.values())
+    versions = {int(p.name.split("=")[1]): len(list(p.glob("part_key=*"))) for p in (tmp_path / "out/table").glob("table_version=*")}
+    assert versions[0] == 7 or versions[0] == 8  # the touched part of the first version goes, the others are still current
+    assert sum(versions.values()) <= 8 + 2
+    assert spark.read.parquet(f"{out}/rejected").count() == 1
+
+
+def test_status_changes(spark):
+    a = spark.createDataFrame([(1, "VERDE"), (2, None), (3, "AMARELO"), (4, None)], "k long, status string")
+    b = spark.createDataFrame([(1, "VERMELHO"), (2, "VERDE"), (3, "AMARELO"), (4, None), (5, "VERDE")], "k long, status string")
+    assert sorted(map(tuple, ingest.status_changes(a, b, ["k"]).collect())) == [(1, "VERDE", "VERMELHO"), (2, None, "VERDE")]
+
+
+def test_windowed_totals(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "b", 4.0)]
+    spark.createDataFrame(rows, "s string, event_type string, value double").selectExpr("cast(s as timestamp) ts", "event_type", "value").write.parquet(str(tmp_path / "e"))
+    events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "e"))
+    ingest.windowed_totals(events).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.event_type, r.n, r.total) for r in spark.table("totals").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
