@@ -47,19 +47,43 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that stored() has written and nothing has deleted yet.
+_made: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     path = shared_folder(df.sparkSession)
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folder = file.rsplit("/", 1)[0]
+        name = folder.rsplit("/", 1)[-1]
+        for path in [x for x in _made if x.endswith(name)] or [folder]:
+            _delete(df.sparkSession, path)
+
+
+def settled(make) -> DataFrame:
+    """make()'s result as a stored table; the tables stored on the way are deleted."""
+    before = set(_made)
+    made = make()
+    spark = made.sparkSession
+    out = stored(made)
+    for path in [x for x in _made[:-1] if x not in before]:
+        _delete(spark, path)
+    return out
 
 
 def quoted(name: str) -> str:

@@ -15,6 +15,7 @@ loses nothing.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.llm.common import need, small_batches
+from tidegrain.llm.common import need, small_batches, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -143,23 +144,26 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_
     and items match nothing; an item longer than a document is held against
     the whole document.  Repeated rows of docs are searched each; of items
     with one id each text is searched and the best window kept; an item without
-id is searched as well and found as null.  Empty tables
+    id is searched as well and found as null.  Empty tables
     give an empty result; other columns are not read.
     """
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     found = None
-    for index in _indexes(benchmark, least, pass_chars):
+    for index, last in _indexes(benchmark, least, pass_chars):
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in index.value.matches(t)]
+                out = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in _index(index, least).matches(t)]
                 made = pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "start", "n_words"])
                 # With a null among them, plain numbers would become floats.
                 yield made.assign(item_id=pd.array([x[1] for x in out], dtype="Int64"))
 
         own = rows.mapInPandas(run, MATCHES)
+        if not last:
+            own = stored(own)
+            index.destroy()
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -168,26 +172,45 @@ def remove(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pas
     """The rows and columns of docs in whose text no item is found, with or without an id; null texts stay."""
     need(docs, "text")
     small_batches(docs.sparkSession)
-    for index in _indexes(benchmark, least, pass_chars):
-        docs = docs.filter(~_leaks(index)("text"))
+    for index, last in _indexes(benchmark, least, pass_chars):
+        docs = docs.filter(~_leaks(index, least)("text"))
+        if not last:
+            docs = stored(docs)
+            index.destroy()
     return docs
 
 
-def _leaks(index):
-    """Whether a text has an item of a broadcast index, as a function of columns."""
+def _leaks(items, least: float):
+    """Whether a text has one of the broadcast items, as a function of columns."""
 
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(t) and bool(index.value.matches(t))).astype(bool)
+        return texts.map(lambda t: bool(t) and bool(_index(items, least).matches(t))).astype(bool)
 
     return leaks
 
 
-def _indexes(benchmark: DataFrame, least: float, pass_chars: int) -> list:
-    """Broadcast indexes of the benchmark's parts, each of about pass_chars characters at most."""
+_built: dict[str, Index] = {}
+
+
+def _index(items, least: float) -> Index:
+    """The index of broadcast items; a worker builds it once and keeps the one it used last."""
+    key, rows = items.value
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(rows, least)
+    return _built[key]
+
+
+def _indexes(benchmark: DataFrame, least: float, pass_chars: int) -> Iterator[tuple]:
+    """Broadcast parts of the benchmark, each of about pass_chars characters at most, and whether it is the last.
+
+    One part at a time is in the driver.
+    """
     need(benchmark, "item_id", "text")
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, ceil(total / pass_chars))
     part = lambda p: [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()]
-    return [benchmark.sparkSession.sparkContext.broadcast(Index(part(p), least)) for p in range(passes)]
+    for p in range(passes):
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part(p))), p == passes - 1
