@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written as Parquet and read again."""
+    """The stages over documents, each result written as Parquet and read again; what a stage no longer needs is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        done = common.settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if k:
+            common.forget(docs)
+        docs = done
     return docs
