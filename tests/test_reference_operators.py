@@ -126,6 +126,51 @@ def test_files(spark, tmp_path):
     assert files.latest(spark, str(tmp_path / "mv")).count() == 2
 
 
+def test_raw_folder_of_both_formats_and_encodings(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("Produto;UF;Ano;Mes;Valor Produto-KG\nmaçã;SP;2024;1;2,27\n".encode("latin-1"))
+    (tmp_path / "b.txt").write_bytes("Produto;UF;Ano;Mes;Valor Produto-KG\naçaí;PA;2024;2;9,5\n".encode())
+    (tmp_path / "c.json").write_text(json.dumps([{"Nome_Produto": "uva", "Estado": "RJ", "ano": 2024, "mes": 3, "preco": "4,0"}]))
+    raw = files.read_raw(spark, str(tmp_path))
+    assert sorted((r.produto, r.uf, r.ano, r.valor_produto_kg, r._arquivo) for r in raw.collect()) == [("açaí", "PA", "2024", "9,5", "b.txt"), ("maçã", "SP", "2024", "2,27", "a.txt"), ("uva", "RJ", "2024", "4,0", "c.json")]
+    assert files.cleaned(raw)[0].count() == 3
+    (tmp_path / "none").mkdir()
+    assert files.read_raw(spark, str(tmp_path / "none")).count() == 0
+    assert files.write_csv(raw, str(tmp_path / "out")) == 3
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+    copy = files.backup(raw.filter("uf = 'SP'"), str(tmp_path / "copy"))
+    assert copy.count() == 1
+    schema = "nome string, n int"
+    (tmp_path / "d.json.arr").write_text(json.dumps([{"nome": "x", "n": 1}, {"nome": "y"}]))
+    from pyspark.sql import types as T
+
+    got = files.read_json_array(spark, str(tmp_path / "d.json.arr"), T._parse_datatype_string(schema))
+    assert sorted((r.nome, r.n, r._arquivo) for r in got.collect()) == [("x", 1, "d.json.arr"), ("y", None, "d.json.arr")]
+    landed = spark.createDataFrame([(1, '{"a": 5}', False), (2, "no", False), (3, '{"a": 7}', True)], "id int, body string, processado boolean")
+    assert sorted((r.id, r.body.a if r.body else None) for r in files.landing(landed, "body", "a int").collect()) == [(1, 5), (2, None)]
+
+
+def test_null_aware_lookups(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    some, null, none = (spark.createDataFrame(x, "k int") for x in ([(1,)], [(1,), (None,)], []))
+    got = lambda v: sorted((r.k for r in tables.not_in(left, v, "k").collect()), key=lambda x: (x is None, x))
+    assert got(some) == [2] and got(null) == [] and got(none) == [1, 2, None]
+    rows = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (2, "x", None)], "k int, note string, c string")
+    known = spark.createDataFrame([("a",), ("z",)], "name string")
+    found = tables.candidates(rows, known, "name", {0: F.col("note"), 1: F.col("c")})
+    assert sorted((r.k, r.found) for r in found.select("k", "found").collect()) == [(1, "a"), (1, "a"), (2, None)]
+    right = spark.createDataFrame([(1, 5, "old"), (1, 7, "new"), (1, 9, "late")], "k int, t int, v string")
+    asof = windows.asof_latest(rows, right, ["k"], F.col("t") >= 0, F.col("t") <= 8, [F.desc("t")])
+    assert asof.columns == ["k", "note", "c", "t", "v"] and sorted(r.v or "" for r in asof.collect()) == ["", "new", "new"]
+
+
+def test_negated_ids_refuse_large_ones(spark):
+    from tidegrain.plans import loads
+
+    assert [r.id for r in loads.negated(spark.createDataFrame([(5,), (None,)], "id long"), "id").collect()] == [-5, None]
+    with pytest.raises(Exception, match="too large"):
+        loads.negated(spark.createDataFrame([(10**9,)], "id long"), "id").collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(1, "a", 1), (2, "b", 1), (1, "c", 2), (3, "bad", 1), (2, "d", 3)]
     schema = "k int, v string, t int"

@@ -37,15 +37,12 @@ def fold(x: Column) -> Column:
 def name_key(x: Column) -> Column:
     """Master-data key of a product name.
 
-    Folded, spaces collapsed; a hyphen between spaces or letters is a space
-    (twice, since one pass passes over every second of a row of single
-    letters); asterisks go, and spaces and hyphens at the ends.
+    Folded, without asterisks, spaces collapsed; a hyphen among spaces or
+    between two letters is a space, other hyphens stay; none at the ends.
     """
-    k = F.regexp_replace(F.translate(F.upper(F.trim(x)), ACCENTED, PLAIN), r"\s+", " ")
-    k = F.regexp_replace(k, r"\s+-\s+", " ")
-    for _ in range(2):
-        k = F.regexp_replace(k, "([A-Z])-([A-Z])", "$1 $2")
-    return F.btrim(F.regexp_replace(k, r"\*+", ""), F.lit(" -"))
+    spaced = F.regexp_replace(fold(F.trim(x)), r"\s+", " ")
+    parted = F.regexp_replace(spaced, r"\s-\s|(?<=[A-Z])-(?=[A-Z])", " ")
+    return F.btrim(F.replace(parted, F.lit("*"), F.lit("")), F.lit(" -"))
 
 
 def collapsed(x: Column) -> Column:

@@ -92,9 +92,12 @@ def h11_collapsed(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.collapsed(F.col("p_type")).alias("name"), text.root_word(F.col("p_name")).alias("root"))
 
 
-@query("SELECT p_partkey, trim(p_name) AS shown FROM part")
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 2 THEN p_name || '-HORTI' WHEN 4 THEN 'a b ' || p_name WHEN 5 THEN '' ELSE p_name END AS shown FROM part")
 def h13_display_name(spark, sf_dir):
-    noisy = F.concat("p_name", F.lit("  -  HORTI | x"))
+    """Names with a category suffix in several spellings, with pipes, with a hyphen of their own, with odd spaces, and empty before the pipe."""
+    n, kind = F.col("p_name"), F.col("p_size") % 6
+    noisy = F.when(kind == 0, F.concat(n, F.lit("  -  HORTI | x"))).when(kind == 1, F.concat(n, F.lit(" - horti  "))).when(kind == 2, F.concat(n, F.lit("-HORTI"))).when(kind == 3, F.concat(n, F.lit("  |  y | z")))
+    noisy = noisy.when(kind == 4, F.concat(F.lit(" a\t b  "), n)).otherwise(F.concat(F.lit("|"), n))
     return table(spark, sf_dir, "part").select("p_partkey", text.display_name(noisy, ["HORTI"]).alias("shown"))
 
 

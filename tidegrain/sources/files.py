@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,16 +14,47 @@ from tidegrain.functions.text import column_key, decimal_price, first_filled
 #: Raw quotations as agencies publish them: all text, so that nothing is lost on load.
 RAW_PRICES = T.StructType([T.StructField(c, T.StringType()) for c in ("produto", "classificacao_produto", "id_produto", "uf", "regiao", "ano", "mes", "dsc_nivel_comercializacao", "valor_produto_kg")])
 
+#: Other names under which files have a field.
+RAW_NAMES = {"produto": ("nome_produto", "product"), "valor_produto_kg": ("preco", "preco_medio", "valor"), "uf": ("estado",)}
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1", schema: T.StructType | None = None) -> DataFrame:
+
+def _decoded(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """Files below path by encoding: UTF-8 where every line is valid, else ISO-8859-1."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad"))
+    rows = lines.groupBy("file").agg(F.bool_or("bad").alias("bad")).collect()  # one row for each file
+    names = lambda bad: sorted(r["file"] for r in rows if r["bad"] == bad)
+    return [(e, f) for e, f in (("UTF-8", names(False)), ("ISO-8859-1", names(True))) if f]
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Delimited text with a header, all columns text, headers normalised, and the file each row is from.
 
-    Rows that do not fit keep what they have; give the encoding of the files.
+    Rows that do not fit keep what they have.  Without an encoding each file
+    is read as UTF-8 if it is that, else as ISO-8859-1.
+    """
+    found = []
+    for name, files in [(encoding, [path])] if encoding else _decoded(spark, path):
+        reader = spark.read.option("sep", sep).option("header", True).option("encoding", name).option("mode", "PERMISSIVE")
+        df = (reader.schema(schema) if schema else reader).csv(files)
+        found.append(df.select(*[F.col(f"`{c}`").alias(column_key(c)) for c in df.columns], F.col("_metadata.file_name").alias("_arquivo")))
+    if not found:
+        raise ValueError(f"no lines below {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def read_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """All raw quotations of a folder, delimited (*.txt, *.csv) and JSON arrays (*.json), under the names of RAW_PRICES, with the file each row is from.
+
+    Fields are found under any of their names, whatever their case; a folder without files gives no rows.
     """
-    reader = spark.read.option("sep", sep).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    named = df.select(*[F.col(f"`{c}`").alias(column_key(c)) for c in df.columns], F.col("_metadata.file_name").alias("_arquivo"))
-    return named
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda pattern: any(x.getLen() for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")) or [])
+    sources = [read_delimited(spark, f"{folder}/{p}") for p in ("*.txt", "*.csv") if there(p)]
+    if there("*.json"):
+        sources.append(spark.read.option("multiLine", True).option("primitivesAsString", True).json(f"{folder}/*.json").withColumn("_arquivo", F.col("_metadata.file_name")))
+    rows = [df.select(*[pick(df, c, *RAW_NAMES.get(c, ())).alias(c) for c in RAW_PRICES.names], "_arquivo") for df in sources]
+    empty = spark.createDataFrame([], T.StructType([*RAW_PRICES.fields, T.StructField("_arquivo", T.StringType())]))
+    return reduce(DataFrame.unionByName, rows, empty)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -71,14 +103,17 @@ def cleaned(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_snapshot(df: DataFrame, folder: str, table: str, year: int, month: int, keys: Sequence[str] = ()) -> str:
-    """A Parquet snapshot named table_yyyy_mm, sorted by keys within each file."""
+    """A Parquet snapshot named table_yyyy_mm, ordered by keys over all its files."""
     path = f"{folder}/{table}_{year:04d}_{month:02d}"
-    (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").parquet(path)
+    (df.orderBy(*keys) if keys else df).write.mode("overwrite").parquet(path)
     return path
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str) -> int:
+    """Write rows as CSV with a header; gives the number of rows, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["rows"]
 
 
 def backup(df: DataFrame, path: str) -> DataFrame:
