@@ -163,6 +163,17 @@ def test_null_aware_lookups(spark):
     assert asof.columns == ["k", "note", "c", "t", "v"] and sorted(r.v or "" for r in asof.collect()) == ["", "new", "new"]
 
 
+def test_a_broken_proof_ends_the_job(spark):
+    from tidegrain.plans import loads
+
+    schema = "product string, uf string, ano int, mes int, periodo int, preco_q long"
+    rows = [("p", "A", 2000, 1, 24001, 5), ("p", "A", 2000, 1, 24001, 5), ("p", "B", 2000, 13, 24013, None)]
+    report = loads.proofs(spark.createDataFrame(rows, schema), spark.createDataFrame([("A",)], "uf string"))
+    assert {r.rule: r.broken for r in report.collect()} == {"month_in_range": 1, "period_coherent": 0, "positive_price": 1, "unique_month": 1, "known_state": 1}
+    with pytest.raises(Exception, match="is broken by 1 rows"):
+        loads.required(report).collect()
+
+
 def test_negated_ids_refuse_large_ones(spark):
     from tidegrain.plans import loads
 

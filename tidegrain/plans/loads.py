@@ -225,3 +225,28 @@ def negated(df: DataFrame, column: str, most: int = 1_000_000_000) -> DataFrame:
 @query("SELECT -o_orderkey AS id, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
 def n5_negated_ids(spark, sf_dir):
     return negated(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id")
+
+
+def proofs(prices: DataFrame, states: DataFrame) -> DataFrame:
+    """Of each rule that a migration must leave true: its name and how many rows break it."""
+    rules_ = {
+        "month_in_range": ~F.col("mes").between(1, 12),
+        "period_coherent": F.col("ano") * 12 + F.col("mes") != F.col("periodo"),
+        "positive_price": F.col("preco_q").isNull() | (F.col("preco_q") <= 0),
+    }
+    counts = prices.agg(*[F.count_if(c).alias(n) for n, c in rules_.items()])
+    each = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("broken")) for n in rules_])).alias("r")).select("r.*")
+    twice = prices.groupBy(*KEY, "periodo").count().filter("count > 1").agg(F.lit("unique_month").alias("rule"), F.count("*").alias("broken"))
+    lost = tables.without(prices, states, ["uf"]).agg(F.lit("known_state").alias("rule"), F.count("*").alias("broken"))
+    return each.unionByName(twice).unionByName(lost)
+
+
+def required(report: DataFrame) -> DataFrame:
+    """The report of proofs(); a broken rule ends the job when it is read."""
+    message = F.format_string("%s is broken by %d rows", "rule", "broken")
+    return report.withColumn("broken", F.when(F.col("broken") == 0, F.col("broken")).otherwise(F.raise_error(message).cast("long")))
+
+
+@query("WITH fact AS FACT SELECT 'month_in_range' AS rule, count(*) FILTER (NOT mes BETWEEN 1 AND 12) AS broken FROM fact UNION ALL SELECT 'period_coherent', count(*) FILTER (ano * 12 + mes <> periodo) FROM fact UNION ALL SELECT 'positive_price', count(*) FILTER (preco_q IS NULL OR preco_q <= 0) FROM fact UNION ALL SELECT 'unique_month', count(*) FROM (SELECT 1 FROM fact GROUP BY product, uf, periodo HAVING count(*) > 1) UNION ALL SELECT 'known_state', count(*) FROM fact WHERE uf NOT IN (SELECT n_name FROM nation)")
+def n6_proofs(spark, sf_dir):
+    return required(proofs(fact(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("uf"))))
