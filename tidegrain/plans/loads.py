@@ -250,3 +250,19 @@ def required(report: DataFrame) -> DataFrame:
 @query("WITH fact AS FACT SELECT 'month_in_range' AS rule, count(*) FILTER (NOT mes BETWEEN 1 AND 12) AS broken FROM fact UNION ALL SELECT 'period_coherent', count(*) FILTER (ano * 12 + mes <> periodo) FROM fact UNION ALL SELECT 'positive_price', count(*) FILTER (preco_q IS NULL OR preco_q <= 0) FROM fact UNION ALL SELECT 'unique_month', count(*) FROM (SELECT 1 FROM fact GROUP BY product, uf, periodo HAVING count(*) > 1) UNION ALL SELECT 'known_state', count(*) FROM fact WHERE uf NOT IN (SELECT n_name FROM nation)")
 def n6_proofs(spark, sf_dir):
     return required(proofs(fact(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("uf"))))
+
+
+def with_varieties(prices: DataFrame, varieties: DataFrame) -> DataFrame:
+    """prices, and rows (derived) of varieties at a percentage of their base product's price; a variety's own row stays.
+
+    varieties has base, product and percent, and each product once.
+    """
+    rows = prices.select(*KEY, "periodo", "preco_q")
+    made = rows.withColumnRenamed("product", "base").join(varieties, "base").select(*KEY, "periodo", F.expr("preco_q * percent div 100").alias("preco_q"), F.lit(True).alias("derived"))
+    return tables.prefer(rows.withColumn("derived", F.lit(False)), made, [*KEY, "periodo"], [])
+
+
+@query("WITH fact AS FACT, m(base, product, percent) AS (VALUES ('Brand#1', 'Brand#2', 110), ('Brand#1', 'Brand#1 MINI', 90), ('Brand#3', 'Brand#3 MINI', 80)), v AS (SELECT m.product, uf, periodo, preco_q * percent // 100 AS preco_q FROM fact JOIN m ON m.base = fact.product) SELECT product, uf, periodo, preco_q, false AS derived FROM fact UNION ALL SELECT *, true FROM v ANTI JOIN fact USING (product, uf, periodo)")
+def j29_varieties(spark, sf_dir):
+    varieties = spark.createDataFrame([("Brand#1", "Brand#2", 110), ("Brand#1", "Brand#1 MINI", 90), ("Brand#3", "Brand#3 MINI", 80)], "base string, product string, percent int")
+    return with_varieties(fact(spark, sf_dir), varieties)
