@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrain.llm import bpe, common, decontaminate, html_text, ngram_join, pii, quality, substring, token_orc, toxicity, warc
+from tidegrain.llm import bpe, clustering, common, decontaminate, html_text, negatives, ngram_join, pii, quality, substring, token_orc, toxicity, warc
 
 END_ID = 2
 
@@ -59,8 +60,18 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row mines; every seventh has a wrong label."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, wrong)
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digests(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_join, op3_decontamination, op4_substring_dedup, op5_byte_bpe, op6_html_text, op7_quality_rules, op8_token_orc, op9_pii, op10_warc_audit)
+    own = (op1_toxicity, op2_ngram_join, op3_decontamination, op4_substring_dedup, op5_byte_bpe, op6_html_text, op7_quality_rules, op8_token_orc, op9_pii, op10_warc_audit, op11_hard_negatives, op13_delta_lloyd)
     return {f.__name__: f for f in own}
 
 
@@ -102,5 +113,44 @@ FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id =
 """
 
 
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor({} * x::DOUBLE) AS BIGINT))"
+_FINITE = "len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]))"
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE.format(256)} AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST({_DOT.format("a.q", "b.q")} AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+) SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Whole rounds of the clustering, all distances anew in each."""
+    steps = [
+        f"v AS (SELECT vec_id, {_WHOLE.format(64)} AS q FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < 16)",
+    ]
+    for r in range(rounds + 1):
+        d = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - k.q[i]) * (v.q[i] - k.q[i])))"
+        steps.append(f"a{r} AS (SELECT v.vec_id, v.q, k.c, CAST({d} AS BIGINT) AS d FROM v, c{r} k QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, k.c) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT c, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM (SELECT c, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i)")
+            steps.append(f"c{r + 1} AS (SELECT k.c, coalesce(n.q, k.q) AS q FROM c{r} k LEFT JOIN (SELECT c, list(x ORDER BY i) AS q FROM m{r} GROUP BY c) n ON n.c = k.c)")
+    return f"""WITH {", ".join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op13_delta_lloyd": _lloyd_sql(clustering.ROUNDS)}
