@@ -194,11 +194,28 @@ def test_bpe_like_tiktoken(spark, rows):
     assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {1: rows[0][1].encode(), 2: b""}
 
 
-def test_chunks_join_to_the_text():
+def test_word_ids_are_those_of_whole_texts():
+    import numpy as np
+    import pyarrow as pa
+    import regex
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=bpe.read_ranks(T.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+
+    def merge(pieces):
+        ids = [own._core_bpe.encode_single_piece(p.encode()) for p in pieces]
+        return np.array([i for x in ids for i in x], "<i4"), np.array([len(x) for x in ids], np.int64)
+
     r = random.Random(5)
-    for _ in range(2000):
-        t = "".join(r.choice("ab \n\t. ") for _ in range(r.randint(0, 12)))
-        assert "".join(pretokens.chunks(t)) == t
+    texts = ["".join(r.choice(["a", "b", " ", " ", "\n", "\t", ".", "é", "\u00a0", "12", "'s"]) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    # A small store starts anew every few batches.
+    store = pretokens.WordIds(regex.compile(T.PATTERN).findall, merge, kept=150)
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        flat, sizes = store.lookup(pa.array(some, pa.string()))
+        ends = np.cumsum(sizes)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [own.encode_ordinary(t) for t in some]
+    assert store.words.count < 1000
 
 
 def test_token_orc_round_trip(spark, rows, tmp_path):
