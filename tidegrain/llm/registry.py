@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import bpe, clustering, common, decontaminate, html_text, negatives, ngram_join, pii, quality, substring, token_orc, toxicity, warc
+from tidegrain.llm import bpe, clustering, common, decontaminate, html_text, minmax, negatives, ngram_join, pii, quality, substring, token_orc, toxicity, warc
 
 END_ID = 2
 
@@ -66,12 +66,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, wrong)
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.components(_table(spark, sf_dir, "documents"))
+
+
 def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.digests(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_join, op3_decontamination, op4_substring_dedup, op5_byte_bpe, op6_html_text, op7_quality_rules, op8_token_orc, op9_pii, op10_warc_audit, op11_hard_negatives, op13_delta_lloyd)
+    own = (op1_toxicity, op2_ngram_join, op3_decontamination, op4_substring_dedup, op5_byte_bpe, op6_html_text, op7_quality_rules, op8_token_orc, op9_pii, op10_warc_audit, op11_hard_negatives, op12_minmax_dedup, op13_delta_lloyd)
     return {f.__name__: f for f in own}
 
 
@@ -153,4 +157,5 @@ FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op13_delta_lloyd": _lloyd_sql(clustering.ROUNDS)}
+    by_pairs = OP2_SQL.replace("85 *", "80 *").replace("m.component_id\n", "m.component_id, n.doc_id = m.component_id AS kept\n")
+    return {"op2_ngram_join": OP2_SQL, "op12_minmax_dedup": by_pairs, "op4_substring_dedup": OP4_SQL, "op11_hard_negatives": OP11_SQL, "op13_delta_lloyd": _lloyd_sql(clustering.ROUNDS)}
