@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegrain.operators.tables import prefer
 from tidegrain.operators.windows import top_per_key
+from tidegrain.sources import folders, versions
 
 
 def merged(old: DataFrame | None, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -25,79 +26,67 @@ def status_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], status:
     return a.join(b, list(keys)).filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [str(x.getPath().getName()) for x in fs.listStatus(at)] if fs.exists(at) else []
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The table of an ingest: of each part its newest version, none before the first batch.
+    """The table of an ingest, none before the first batch."""
+    return versions.read(spark, folder)
 
-    A version is complete when its ledger entry is there; parts that a batch
-    did not touch stay in the version that last did.
-    """
-    versions = _versions(spark, folder)
-    if not versions:
-        return None
-    paths = [_place(folder, v, p) for p, v in sorted(versions.items())]
-    return spark.read.option("basePath", f"{folder}/table").parquet(*paths).drop("table_version", "part_key")
 
+def change_log(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Keys, before, after and batch of every status that an ingest changed, none before the first batch."""
+    return spark.read.parquet(f"{folder}/changes").drop("number") if folders.names(spark, f"{folder}/changes") else None
 
-def _place(folder: str, version: int, part: int) -> str:
-    return f"{folder}/table/table_version={version}/part_key={part}"
 
+def transitions(log: DataFrame) -> DataFrame:
+    """How often each status became each other, and the first and last batch that did it."""
+    return log.groupBy("before", "after").agg(F.count("*").alias("changes"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
 
-def _ledger(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("version long, part_key int").json(f"{folder}/ledger")
 
+def apply_batch(batch: DataFrame, number: int, folder: str, keys: Sequence[str], order: Sequence[str], check: Callable[[DataFrame], tuple[DataFrame, DataFrame]], part: Column, audit: str | None = None) -> None:
+    """Merge one batch: rewrite the parts that it touches, keep rejected rows, and log what became of the audited column.
 
-def _versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, int]:
-    """Newest version of each part, of versions below a number."""
-    if not _files(spark, f"{folder}/ledger"):
-        return {}
-    ledger = _ledger(spark, folder)
-    rows = (ledger if below is None else ledger.filter(F.col("version") < below)).groupBy("part_key").agg(F.max("version").alias("v")).collect()
-    return {r["part_key"]: r["v"] for r in rows}
+    All that a batch writes depends on the version before it and goes under
+    its number, so a batch that is run again changes nothing and is logged
+    once.
+    """
+    spark = batch.sparkSession
+    good, bad = check(batch)
+    good = good.withColumn("part_key", versions.part_key(part)).persist()
+    try:
+        touched = [r["part_key"] for r in good.select("part_key").distinct().collect()]
+        before = versions.numbers(spark, folder, number)
+        old = versions.read_parts(spark, folder, before[-1], touched) if before and touched else None
+        new = merged(old, good.drop("part_key"), keys, order)
+        if audit:
+            empty = good.limit(0) if old is None else old
+            log = status_changes(empty, new, keys, audit).withColumn("batch", F.lit(number).cast("long"))
+            log.coalesce(max(1, len(touched) // 64)).write.mode("overwrite").parquet(f"{folder}/changes/number={number}")
+        if touched:
+            noted = spark.createDataFrame([(p, "") for p in touched], "part string, digest string")
+            versions.commit(new.withColumn("part_key", versions.part_key(part)), folder, number, noted)
+        bad.write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
+    finally:
+        good.unpersist()
 
 
-def start(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], check: Callable[[DataFrame], tuple[DataFrame, DataFrame]], notify: Callable[[int], None] | None = None, parts: int = 16) -> StreamingQuery:
+def start(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], check: Callable[[DataFrame], tuple[DataFrame, DataFrame]], notify: Callable[[int], None] | None = None, parts: int = 16, part: Column | None = None, audit: str | None = None) -> StreamingQuery:
     """Merge a stream into a Parquet table below folder (read it with current()), with rejected rows beside it.
 
-    Rows are in parts by a hash of the key.  A micro-batch writes a new
-    version of the parts that it touches and of no other, then notes them in
-    the ledger; the version before is kept for readers, older ones go.  A
-    batch that is run again after a failure starts from the same versions and
-    gives the same table.  The number of parts must not change.
+    part, a function of the keys, names each row's part: a month, or a range
+    of keys, such that new rows touch few parts and a part is as large as one
+    job should rewrite.  Without it rows are dealt over parts by a hash of the
+    key, which suits small tables only, since most batches touch all of them.
+    The parts must not change.  audit names a column whose changes are logged
+    (read them with change_log()).
+
+    A micro-batch writes a new version of the parts that it touches and of no
+    other; the version before is kept for readers, older ones go.  A batch
+    that is run again after a failure starts from the same version and gives
+    the same table.
     """
+    place = F.pmod(F.xxhash64(*keys), F.lit(parts)) if part is None else part
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        good, bad = check(batch)
-        key = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-        good = good.withColumn("part_key", key).persist()
-        touched = [r["part_key"] for r in good.select("part_key").distinct().collect()]
-        before = _versions(spark, folder, number)
-        paths = [_place(folder, before[p], p) for p in touched if p in before]
-        old = spark.read.option("basePath", f"{folder}/table").parquet(*paths).withColumn("part_key", key).select(good.columns) if paths else None
-        merged(old, good, keys, order).repartition("part_key").write.mode("overwrite").partitionBy("part_key").parquet(f"{folder}/table/table_version={number}")
-        bad.write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
-        if touched:
-            noted = spark.createDataFrame([(number, p) for p in touched], "version long, part_key int")
-            noted.coalesce(1).write.mode("overwrite").json(f"{folder}/ledger/batch={number}")
-        good.unpersist()
-        if before:
-            # Of each touched part the version before stays for readers, the one before that goes.
-            older = _ledger(spark, folder).filter(F.col("part_key").isin(touched)).groupBy("part_key").agg(F.collect_set("version").alias("all")).collect()
-            for r in older:
-                gone = [v for v in r["all"] if v < before.get(r["part_key"], 0)]
-                if gone:
-                    _drop(spark, _place(folder, max(gone), r["part_key"]))
+        apply_batch(batch, number, folder, keys, order, check, place, audit)
         if notify:
             notify(number)
 
