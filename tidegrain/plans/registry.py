@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrain.plans import basic, composite, forecasts, loads, more, rules_queries, text_queries, window_queries
+from tidegrain.plans import basic, composite, forecasts, loads, more, rules_queries, serving, text_queries, window_queries
 
-MODULES = (window_queries, basic, text_queries, rules_queries, composite, more, forecasts, loads)
+MODULES = (window_queries, basic, text_queries, rules_queries, composite, more, forecasts, loads, serving)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
