@@ -115,7 +115,7 @@ def test_a_load_from_raw_files_is_resumed(spark, tmp_path, monkeypatch):
     rows = {r.mes: r for r in again.table("serving").collect()}
     assert again.ran == ["forecast", "serving"] and len(rows) == 12
     assert (rows[1].preco_q, rows[1].is_forecast, rows[5].preco_q, rows[5].is_forecast) == (30000, False, 30000, True)
-    assert [(r.mes, r.reason) for r in again.table("quarantine").collect()] == [(2, "EXCEDE_500PCT_MEDIA_UF")]
+    assert [(r.periodo, r.reason) for r in again.table("quarantine").collect()] == [(24014, "EXCEDE_500PCT_MEDIA_UF")]
     assert sorted(r.motivo for r in again.table("rejected").collect()) == ["PRECO_INVALIDO", "UF_INVALIDA"]
     assert again.table("prices").count() == 26 and again.table("seasonality").count() == 25
     done = load()

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.operators.windows import top_per_key
+from tidegrain.operators.windows import content_key, top_per_key
 
 
 def filtered(df: DataFrame, **wanted: Any) -> DataFrame:
@@ -96,8 +96,8 @@ def entity_page(df: DataFrame, key: str, number: int = 1, size: int = 50) -> Dat
 def candidates(df: DataFrame, known: DataFrame, key: str, tries: Mapping[int, Column]) -> DataFrame:
     """Each row with the first of its candidate keys that known has (null if none)."""
     own = df.columns
-    df = df.withColumn("_row", F.monotonically_increasing_id())
-    ranked = df.select("_row", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), c.alias("key")) for i, c in tries.items()])).alias("_c"))
+    df = df.withColumn("_row", content_key(df))
+    ranked = df.dropDuplicates(["_row"]).select("_row", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), c.alias("key")) for i, c in tries.items()])).alias("_c"))
     hit = ranked.join(known.select(F.col(key).alias("_known")).distinct(), F.col("_c.key") == F.col("_known"))
     best = hit.groupBy("_row").agg(F.min_by("_known", "_c.rank").alias("found"))
     return df.join(best, "_row", "left").select(*own, "found")

@@ -56,6 +56,11 @@ def interpolated(df: DataFrame, keys: Sequence[str], order: str, value: str, to:
     return out.withColumn(to, F.coalesce(F.col(value), F.when(short, line))).drop("_v0", "_t0", "_v1", "_t1")
 
 
+def content_key(df: DataFrame) -> Column:
+    """A digest of a row's columns.  Unlike a row number it is the same wherever the row is computed again; equal rows share it."""
+    return F.md5(F.to_json(F.struct(*[df[f"`{c}`"] for c in df.columns]), {"ignoreNullFields": "false"}))
+
+
 def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], low: Column, high: Column, order: Sequence[Column]) -> DataFrame:
     """Each left row with the first right row (by order) of its keys between low and high; left rows alone stay.
 
@@ -63,11 +68,27 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], low: Col
     equi-join on the keys.  Nulls and repeated rows on the left stay as they are.
     """
     own, more = left.columns, [c for c in right.columns if c not in keys]
-    row = left.withColumn("_row", F.monotonically_increasing_id())
-    best = top_per_key(row.join(right, list(keys)).filter(low & high), ["_row"], order).select("_row", *more)
+    row = left.withColumn("_row", content_key(left))
+    best = top_per_key(row.dropDuplicates(["_row"]).join(right, list(keys)).filter(low & high), ["_row"], order).select("_row", *more)
     return row.join(best, "_row", "left").select(*own, *more)
 
 
+def asof_before(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, period: str, value: str, to: str) -> DataFrame:
+    """Each left row with right's last value that is not null strictly before the row's own time.
+
+    at is left's time and period right's.  Both sides go through one sort by
+    key and time, so a key with many rows on either side is no join of all
+    with all; left rows without an earlier value get null, repeated ones stay.
+    """
+    own = left.columns
+    a = left.select(*[F.col(c) for c in own], F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    b = right.select(*keys, F.col(period).cast(left.schema[at].dataType).alias("_t"), F.lit(1).alias("_side"), F.col(value).alias("_v"))
+    # At equal times left rows come first, so only earlier values are before them.
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn(to, F.last("_v", ignorenulls=True).over(w))
+    return both.filter("_side = 0").select(*own, to)
+
+
 def previous_period(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
     """Adds the value of the period just before, null-safe in the keys; several values give the smallest."""
     old = df.groupBy(*keys, (F.col(period) + 1).alias("_p")).agg(F.min(value).alias("previous"))

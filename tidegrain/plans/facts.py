@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str, product: str = "p_brand") -> DataFrame:
-    """product, uf, region, ano, mes, periodo, preco_q and obs."""
+    """product (an expression over part), uf, region, ano, mes, periodo, preco_q and obs."""
     items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col(product).alias("product"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(product).alias("product"))
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("uf"), F.col("r_name").alias("region"))
     sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(places, "s_nationkey")
     rows = items.join(parts, "l_partkey").join(sellers, "l_suppkey")
