@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tidegrain.functions import rules
 from tidegrain.operators import stats, tables, windows
 from tidegrain.plans.basic import FLOWS, VOLATILITY, flows
-from tidegrain.plans.facts import AS_OF, fact
+from tidegrain.plans.facts import AS_OF, FACT, fact, table
 from tidegrain.plans.kit import registrar
 from tidegrain.plans.rules_queries import SENSITIVE
 from tidegrain.plans.window_queries import FILLED, GRID, NAMED, STATUS, TRAILING, series_grid
+from tidegrain.sources import folders
 
 QUERIES, SQL, query = registrar()
 KEY = ["product", "uf"]
@@ -42,6 +43,30 @@ def j1_seasonality(spark, sf_dir):
     return seasonality(fact(spark, sf_dir)).select(*KEY, "periodo", "preco_q", "status")
 
 
+def one_per_month(rows: DataFrame) -> DataFrame:
+    """Of a series' rows in a month the one in kg, else one with a factor to kg, else another (then by unit)."""
+    rank = F.when(F.col("unit") == "kg", 0).when(F.col("factor").isNotNull(), 1).otherwise(2)
+    return windows.top_per_key(rows.filter("preco_q is not null"), [*KEY, "ano", "mes"], [rank, F.col("unit")])
+
+
+#: Units of the query's prices by size, and the factors to kg that are known.
+_UNIT = "CASE p_size % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'cx' WHEN 2 THEN 'dz' ELSE 'un' END"
+_FACTORS = {"cx": 20, "dz": 12}
+
+
+@query(
+    f"""WITH per AS (SELECT *, row_number() OVER (PARTITION BY product, uf, ano, mes ORDER BY CASE WHEN unit = 'kg' THEN 0 WHEN unit IN {tuple(_FACTORS)} THEN 1 ELSE 2 END, unit) AS k FROM (
+  SELECT split_part(product, '|', 1) AS product, split_part(product, '|', 2) AS unit, uf, region, ano, mes, periodo, preco_q FROM {FACT.replace("p_brand AS product", "p_brand || '|' || " + _UNIT + " AS product")})),
+fact AS (SELECT * FROM per WHERE k = 1), {LIVE.replace("SELECT product, uf, region, ano, mes, periodo, preco_q,", "SELECT product, uf, unit, periodo, preco_q, n,")} SELECT product, uf, unit, periodo, preco_q, n, status FROM live"""
+)
+def j1_unit_priority(spark, sf_dir):
+    """Seasonality of months that have prices in several units."""
+    f = fact(spark, sf_dir, f"p_brand || '|' || {_UNIT}")
+    factor = F.create_map(*[F.lit(x) for kv in _FACTORS.items() for x in kv])
+    rows = f.withColumns({"unit": F.split_part("product", F.lit("|"), F.lit(2)), "product": F.split_part("product", F.lit("|"), F.lit(1))}).withColumn("factor", F.try_element_at(factor, F.col("unit")))
+    return seasonality(one_per_month(rows)).select(*KEY, "unit", "periodo", "preco_q", "n", "status")
+
+
 BASELINE = "b AS (SELECT product, uf, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS n, 'ano' AS how FROM fact WHERE ano = 2000 GROUP BY ALL), l AS (SELECT f.product, f.uf, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS n FROM fact f JOIN (SELECT product, uf, max(periodo) AS top FROM fact GROUP BY ALL) m ON m.product = f.product AND m.uf = f.uf WHERE periodo > top - 12 GROUP BY ALL HAVING count(*) >= 3), last AS (SELECT product, uf, arg_max(preco_q, periodo) AS p FROM fact GROUP BY ALL)"
 
 
@@ -86,6 +111,65 @@ def j8_weighted_baseline(spark, sf_dir):
     return j.select(*KEY, "mes", rules.agreement(s1, s2).alias("status"), F.round(rules.agreement_confidence(s1, c1, s2, c2), 4).alias("confidence"))
 
 
+# The methods of the weighted baseline.
+ANCHORED, BY_CATEGORY, BY_LAST = "ANCHOR_2024_MARGIN_2025", "PROXY_CATEGORIA_UF", "LOCF_MES_ANTERIOR"
+
+
+def weighted_baseline(s: DataFrame, products: DataFrame, year: int, period: int) -> DataFrame:
+    """product, uf, mes, status, diverges, confidence and method of all months of every pair with a history, and of products without any.
+
+    s is seasonality()'s result; products has product and category of all
+    products there are.  A product without history stands in one place of each
+    region, the one with most rows of its category.  The two baselines decide
+    (see rules.agreement()); else the category's most frequent status in that
+    place and month, surer the more products it has; else the last status
+    before that month of the year, which is hardly sure, or yellow.
+    """
+    s = s.join(products, "product")
+    pair = modal_pair(s, (year - 3, year - 2), (year - 2, year - 1))
+    now = s.filter((F.col("ano") == year) & (F.col("periodo") <= period))
+    pairs = pair.select(*KEY).unionByName(now.select(*KEY)).distinct()
+    places = windows.top_per_key(s.groupBy("category", "region", "uf").agg(F.count("*").alias("n")), ["category", "region"], [F.desc("n"), F.asc("uf")])
+    fresh = tables.without(products, pairs, ["product"]).join(places.select("category", "uf"), "category")
+    grid = tables.month_grid(pairs.join(products, "product").unionByName(fresh.select(*KEY, "category")))
+    proxy = s.groupBy("uf", "category", "mes").agg(F.mode("status", deterministic=True).alias("near"), F.least(F.lit(25.0), F.count_distinct("product") * 5.0).alias("near_sure"))
+    x = grid.join(pair, [*KEY, "mes"], "left").join(proxy, ["uf", "category", "mes"], "left").withColumn("at", F.lit(year * 12) + F.col("mes"))
+    x = windows.asof_before(x, s, KEY, "at", "periodo", "status", "last")
+    s1, c1, s2, c2 = (F.col(c) for c in ("s1", "c1", "s2", "c2"))
+    own = rules.agreement(s1, s2)
+    status = F.coalesce(own, "near", "last", F.lit(rules.YELLOW))
+    sure = F.when(own.isNotNull(), F.round(rules.agreement_confidence(s1, c1, s2, c2), 4)).when(F.col("near").isNotNull(), F.col("near_sure")).when(F.col("last").isNotNull(), 15.0).otherwise(5.0)
+    method = F.when(own.isNotNull(), ANCHORED).when(F.col("near").isNotNull(), BY_CATEGORY).otherwise(BY_LAST)
+    return x.select(*KEY, "mes", status.alias("status"), F.coalesce(s1 != s2, F.lit(False)).alias("diverges"), sure.alias("confidence"), method.alias("method"))
+
+
+#: Products of the tiers' query: a name and brand, its name the category; those of one brand have no history.
+TIERED = "p_name || ' ' || p_brand"
+UNSOLD = "%Brand#7"
+
+
+@query(
+    f"""WITH raw AS {FACT.replace("p_brand AS product", TIERED + " AS product")}, fact AS (SELECT * FROM raw WHERE product NOT LIKE '{UNSOLD}'), {LIVE},
+pr AS (SELECT DISTINCT {TIERED} AS product, p_name AS category FROM part), a AS ({MODAL.format(f"{YEAR - 3}, {YEAR - 2}")}), b AS ({MODAL.format(f"{YEAR - 2}, {YEAR - 1}")}),
+pairs AS (SELECT product, uf FROM a UNION SELECT product, uf FROM b UNION SELECT product, uf FROM live WHERE ano = {YEAR} AND periodo <= {PERIOD}),
+lc AS (SELECT *, category FROM live JOIN pr USING (product)),
+rep AS (SELECT category, region, uf FROM (SELECT category, region, uf, count(*) AS n FROM lc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY category, region ORDER BY n DESC, uf) = 1),
+grid AS (SELECT product, uf, category, CAST(m AS INTEGER) AS mes FROM (SELECT product, uf, category FROM pairs JOIN pr USING (product) UNION ALL SELECT product, uf, category FROM pr JOIN rep USING (category) WHERE product NOT IN (SELECT product FROM pairs)), range(1, 13) r(m)),
+near AS (SELECT uf, category, mes, mode(status ORDER BY status) AS near, least(25.0, count(DISTINCT product) * 5.0)::DOUBLE AS near_sure FROM lc GROUP BY ALL),
+last AS (SELECT g.product, g.uf, g.mes, arg_max(l.status, l.periodo) AS last FROM grid g JOIN live l ON l.product = g.product AND l.uf = g.uf AND l.periodo < {YEAR * 12} + g.mes GROUP BY ALL),
+xx AS (SELECT grid.*, a.status AS s1, a.confidence AS c1, b.status AS s2, b.confidence AS c2, near, near_sure, last FROM grid LEFT JOIN a USING (product, uf, mes) LEFT JOIN b USING (product, uf, mes) LEFT JOIN near USING (uf, category, mes) LEFT JOIN last USING (product, uf, mes))
+SELECT product, uf, mes, CASE WHEN s1 <> s2 THEN 'AMARELO' ELSE coalesce(s2, s1, near, last, 'AMARELO') END AS status, coalesce(s1 <> s2, false) AS diverges,
+  CASE WHEN s1 IS NOT NULL AND s2 IS NOT NULL THEN round(least(c1 * 0.6 + c2 * 0.4, CASE WHEN s1 = s2 THEN 100 ELSE 40 END), 4) WHEN s2 IS NOT NULL THEN round(c2, 4) WHEN s1 IS NOT NULL THEN round(c1 * 0.5, 4) WHEN near IS NOT NULL THEN near_sure WHEN last IS NOT NULL THEN 15 ELSE 5 END::DOUBLE AS confidence,
+  CASE WHEN s1 IS NOT NULL OR s2 IS NOT NULL THEN '{ANCHORED}' WHEN near IS NOT NULL THEN '{BY_CATEGORY}' ELSE '{BY_LAST}' END AS method FROM xx"""
+)
+def j8_weighted_tiers(spark, sf_dir):
+    """The whole grid, products without any sale included."""
+    f = fact(spark, sf_dir, TIERED).filter(~F.col("product").like(UNSOLD))
+    products = table(spark, sf_dir, "part").select(F.expr(TIERED).alias("product"), F.col("p_name").alias("category")).distinct()
+    s = folders.stored(seasonality(f).select(*KEY, "region", "ano", "mes", "periodo", "status"))
+    return weighted_baseline(s, products, YEAR, PERIOD)
+
+
 def _mean(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg((F.sum("preco_q") / F.count("*")).alias("v"))
 
@@ -112,17 +196,30 @@ def j11_base_price(spark, sf_dir):
     return tables.cascade(f.select(*KEY).distinct(), levels, "v", "q", "level").select(*KEY, (F.col("q") / 10000.0).alias("base"))
 
 
+#: The years whose prices make seasonal factors.
+FACTOR_YEARS = (YEAR - 2, YEAR - 1)
+
+
 def _factor(level: str, keys: str) -> str:
-    on = " AND ".join(f"m.{k} = t.{k}" for k in keys.split(", "))
-    return f"{level} AS (SELECT {', '.join('m.' + k for k in keys.split(', '))}, m.mes, (m.s::DOUBLE / m.n) / (t.s::DOUBLE / t.n) - 1 AS v FROM (SELECT {keys}, mes, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS n FROM fact GROUP BY ALL) m JOIN (SELECT {keys}, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS n FROM fact GROUP BY ALL HAVING count(DISTINCT mes) >= 6) t ON {on} WHERE (m.s::DOUBLE / m.n) / (t.s::DOUBLE / t.n) BETWEEN 0.5 AND 2)"
+    """The rule for each key and month: the month's mean is within half and double the median of all the key's prices, which have six calendar months."""
+    return f"""{level} AS (SELECT {keys}, mes, (CAST(s AS HUGEINT) * tn * 20000 + n * ts) // (2 * n * ts) / 10000.0::DOUBLE - 1 AS v FROM
+  (SELECT {keys}, mes, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS n FROM fact WHERE ano IN {FACTOR_YEARS} AND preco_q > 0 GROUP BY ALL) m JOIN
+  (SELECT {keys}, CAST(sum(preco_q) AS HUGEINT) AS ts, count(*) AS tn, quantile_cont(preco_q, 0.5) AS md FROM fact WHERE ano IN {FACTOR_YEARS} AND preco_q > 0 GROUP BY ALL HAVING count(DISTINCT mes) >= 6) t USING ({keys})
+  WHERE s >= 0.5 * md * n AND s <= 2.0 * md * n)"""
 
 
-def seasonal_factor(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Month mean over whole mean, less one, between half and double, for keys with six distinct months."""
-    m = df.groupBy(*keys, "mes").agg(F.sum("preco_q").alias("s"), F.count("*").alias("n"))
-    t = df.groupBy(*keys).agg(F.sum("preco_q").alias("ts"), F.count("*").alias("tn"), F.count_distinct("mes").alias("k")).filter("k >= 6")
-    ratio = (F.col("s") / F.col("n")) / (F.col("ts") / F.col("tn"))
-    return m.join(t, keys).filter(ratio.between(0.5, 2)).select(*keys, "mes", (ratio - 1).alias("v"))
+def seasonal_factor(df: DataFrame, keys: list[str], years: tuple[int, ...] = FACTOR_YEARS) -> DataFrame:
+    """A month's mean over the mean of all months, less one, to four digits, of the prices of some years.
+
+    Only keys with six calendar months, and only months whose mean is within
+    half and double the key's median, so that mistyped prices make no factor.
+    """
+    known = df.filter(F.col("ano").isin(*years) & (F.col("preco_q") > 0))
+    m = known.groupBy(*keys, "mes").agg(F.sum("preco_q").alias("s"), F.count("*").alias("n"))
+    t = known.groupBy(*keys).agg(F.sum("preco_q").alias("ts"), F.count("*").alias("tn"), F.percentile("preco_q", 0.5).alias("md"), F.count_distinct("mes").alias("k")).filter("k >= 6")
+    ratio = F.expr("(cast(s as decimal(38,0)) * tn * 20000 + cast(n as decimal(38,0)) * ts) div (2 * cast(n as decimal(38,0)) * ts)")
+    near = (F.col("s") >= F.lit(0.5) * F.col("md") * F.col("n")) & (F.col("s") <= F.lit(2.0) * F.col("md") * F.col("n"))
+    return m.join(t, keys).filter(near).select(*keys, "mes", (ratio / F.lit(10000.0) - 1).alias("v"))
 
 
 @query(f"WITH fact AS FACT, {_factor('l1', 'product, uf')}, {_factor('l2', 'product, region')}, {_factor('l3', 'product')}, g AS (SELECT product, uf, region, CAST(m AS INTEGER) AS mes FROM (SELECT DISTINCT product, uf, region FROM fact), range(1, 13) r(m)) SELECT g.product, g.uf, g.mes, coalesce(l1.v, l2.v, l3.v) AS factor FROM g LEFT JOIN l1 ON l1.product = g.product AND l1.uf = g.uf AND l1.mes = g.mes LEFT JOIN l2 ON l2.product = g.product AND l2.region = g.region AND l2.mes = g.mes LEFT JOIN l3 ON l3.product = g.product AND l3.mes = g.mes")

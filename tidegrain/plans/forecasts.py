@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidegrain.functions import rules
 from tidegrain.operators import stats, tables, windows
-from tidegrain.plans.composite import HISTORY, KEY, LIVE, MODAL, MONTH, PERIOD, YEAR, _factor, modal_baseline, modal_pair, seasonal_factor, seasonality
+from tidegrain.plans.composite import ANCHORED, BY_CATEGORY, BY_LAST, HISTORY, KEY, LIVE, MODAL, MONTH, PERIOD, YEAR, _factor, modal_baseline, modal_pair, seasonal_factor, seasonality
 from tidegrain.plans.facts import FACT, fact
 from tidegrain.plans.kit import registrar
 from tidegrain.plans.rules_queries import anomalies
+from tidegrain.sources import folders
 
 QUERIES, SQL, query = registrar()
 
@@ -24,34 +25,54 @@ def _first_word(name: str):
     return F.split(F.lower(F.col(name)), " ")[0]
 
 
-def projected(f: DataFrame, year: int, month: int) -> DataFrame:
+def projected(f: DataFrame, year: int, month: int, kg: DataFrame | None = None, forecast: DataFrame | None = None) -> DataFrame:
     """product, uf, mes, price_q, reference_q, method and confidence of the year's months without a price.
 
     f holds observed months up to the given one.  Past months get the mean of
     two years (by the first of four levels that has one) moved by the change
     between them; months to come the base price times the seasonal factor.
+
+    kg has product, uf and factor: prices are per factor units and come out
+    per one (0 and none count as 1).  forecast has product, uf, mes, method,
+    confidence and base_confidence of months that were forecast before: of
+    past ones the method stays, and the surer of both confidences counts; of
+    those to come the surer of the level's and base_confidence.
     """
     past, now = f.filter(F.col("ano").isin(year - 2, year - 1)), f.filter(F.col("ano") == year)
     mean = lambda df, keys: df.groupBy(*keys).agg((F.sum("preco_q") / F.count("*")).alias("v"))
     grid = tables.without(tables.month_grid(past.select(*KEY, "region").distinct()), now, [*KEY, "mes"])
     x = tables.cascade(grid, [(mean(past, k), k) for k in ([*KEY, "mes"], KEY, ["product", "mes"], ["product"])], "v", "history", "level")
     x = tables.cascade(x, [(mean(now, KEY), KEY), (mean(past, KEY), KEY)], "v", "own_base", "base_level")
-    x = tables.cascade(x, [(seasonal_factor(f, k), [*k, "mes"]) for k in (KEY, ["product", "region"], ["product"])], "v", "factor", "factor_level")
+    x = tables.cascade(x, [(seasonal_factor(past, k, (year - 2, year - 1)), [*k, "mes"]) for k in (KEY, ["product", "region"], ["product"])], "v", "factor", "factor_level")
     in_year = lambda y: F.max(F.when(F.col("ano") == y, F.col("preco_q")))
     change = past.groupBy(*KEY, "mes").agg(in_year(year - 2).alias("p0"), in_year(year - 1).alias("p1")).select(*KEY, "mes", F.expr("(p1 * 20000 + p0) div (2 * p0)").alias("ratio"))
     x = x.join(change, [*KEY, "mes"], "left")
     base, retro = F.coalesce("own_base", "history"), F.col("mes") <= month
     price = F.when(retro, F.col("history") * F.coalesce(F.col("ratio"), F.lit(10000)) / F.lit(10000.0)).otherwise(base * (F.lit(1.0) + F.coalesce(F.col("factor"), F.lit(0.0))))
-    sure = F.when(F.col("level") == 1, 100).when(F.col("level") == 2, 30).when(F.col("level") == 3, 20).otherwise(10)
+    sure = F.when(F.col("level") == 1, 100.0).when(F.col("level") == 2, 30.0).when(F.col("level") == 3, 20.0).otherwise(10.0)
     method = F.when(~retro & F.col("factor").isNotNull(), BY_FACTOR).otherwise(BY_MEAN)
-    return x.select(*KEY, "mes", price.alias("price_q"), F.when(retro, F.col("history")).otherwise(base).alias("reference_q"), method.alias("method"), sure.alias("confidence"))
+    if forecast is not None:
+        x = x.join(forecast.select(*KEY, "mes", F.col("method").alias("old_method"), F.col("confidence").alias("old_sure"), "base_confidence"), [*KEY, "mes"], "left")
+        method = F.when(retro & F.col("old_method").isin(ANCHORED, BY_CATEGORY, BY_LAST), F.col("old_method")).otherwise(method)
+        sure = F.greatest(sure, F.coalesce(F.when(retro, F.col("old_sure")).otherwise(F.col("base_confidence")), F.lit(0.0)))
+    per = F.lit(1)
+    if kg is not None:
+        x = x.join(kg.select(*KEY, F.col("factor").alias("kg")), KEY, "left")
+        per = F.coalesce(F.nullif("kg", F.lit(0)), F.lit(1))
+    reference = F.when(retro, F.col("history")).otherwise(base)
+    return x.select(*KEY, "mes", (price / per).alias("price_q"), (reference / per).alias("reference_q"), method.alias("method"), sure.alias("confidence"))
 
 
 def _best_parent(children: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """For each child (and month, if among keys) the product with the same first word: one with a factor first, then the shortest name."""
+    """For each child (and month, if among keys) another product with the same first word: one with a factor first, then the shortest name.
+
+    A word's two best products suffice, as a child can be one of them.
+    """
     c = rows.groupBy(F.col("product").alias("parent"), *keys).agg(F.max((F.col("method") == BY_FACTOR).cast("int")).alias("has")).withColumn("_word", _first_word("parent"))
-    pairs = children.withColumn("_word", _first_word("product")).join(c, ["_word", *keys]).filter("product != parent")
-    return windows.top_per_key(pairs, ["product", *keys], [F.desc("has"), F.length("parent"), F.col("parent")]).select("product", *keys, "parent")
+    order = [F.desc("has"), F.length("parent"), F.col("parent")]
+    two = windows.top_per_key(c, ["_word", *keys], order, 2)
+    pairs = children.withColumn("_word", _first_word("product")).join(two, ["_word", *keys]).filter("product != parent")
+    return windows.top_per_key(pairs, ["product", *keys], order).select("product", *keys, "parent")
 
 
 def with_proxies(forecasts: DataFrame, f: DataFrame, year: int, month: int) -> DataFrame:
@@ -84,20 +105,25 @@ def _observed(spark, sf_dir) -> DataFrame:
     return f.filter((F.col("ano") == YEAR) | ~F.col("product").like(NEW))
 
 
+#: Factors to kg of the projection's query; a factor of 0 is none.
+_KG = "CASE WHEN product LIKE '% widget' AND (uf LIKE '%0' OR uf LIKE '%5') THEN 2 WHEN product LIKE '% rod' THEN 0 END"
 _MEANS = HISTORY.split(", g AS")[0] + ", l1 AS" + HISTORY.split(", l1 AS")[1]
 
 
 @query(
-    f"""WITH raw AS {FACT.replace("p_brand", "p_name")}, fact AS (SELECT * FROM raw WHERE periodo <= {PERIOD} AND (ano = {YEAR} OR product NOT LIKE '{NEW}')),
+    f"""WITH raw AS {FACT.replace("p_brand", "p_name")}, fact AS (SELECT * FROM raw WHERE periodo <= {PERIOD} AND (ano = {YEAR} OR product NOT LIKE '{NEW}')), {LIVE},
 {_MEANS}, {_factor("f1", "product, uf")}, {_factor("f2", "product, region")}, {_factor("f3", "product")},
 now AS (SELECT * FROM fact WHERE ano = {YEAR}), g AS (SELECT product, uf, region, CAST(m AS INTEGER) AS mes FROM (SELECT DISTINCT product, uf, region FROM h), range(1, 13) r(m)),
 miss AS (SELECT * FROM g ANTI JOIN now USING (product, uf, mes)),
 a1 AS (SELECT product, uf, CAST(sum(preco_q) AS DOUBLE) / count(*) AS v FROM now GROUP BY ALL),
 t AS (SELECT product, uf, mes, (max(preco_q) FILTER (ano = {YEAR - 1}) * 20000 + max(preco_q) FILTER (ano = {YEAR - 2})) // (2 * max(preco_q) FILTER (ano = {YEAR - 2})) AS ratio FROM h GROUP BY ALL),
-x AS (SELECT miss.*, coalesce(l1.v, l2.v, l3.v, l4.v) AS hq, CASE WHEN l1.v IS NOT NULL THEN 100 WHEN l2.v IS NOT NULL THEN 30 WHEN l3.v IS NOT NULL THEN 20 ELSE 10 END AS confidence, coalesce(a1.v, l2.v, l1.v, l3.v, l4.v) AS base, coalesce(f1.v, f2.v, f3.v) AS factor, coalesce(ratio, 10000) AS ratio
+m1 AS ({MODAL.format(f"{YEAR - 3}, {YEAR - 2}")}), m2 AS ({MODAL.format(f"{YEAR - 2}, {YEAR - 1}")}),
+w AS (SELECT product, uf, mes, m2.confidence AS c2, round(CASE WHEN m1.status IS NOT NULL AND m2.status IS NOT NULL THEN least(m1.confidence * 0.6 + m2.confidence * 0.4, CASE WHEN m1.status = m2.status THEN 100 ELSE 40 END) WHEN m2.status IS NOT NULL THEN m2.confidence ELSE m1.confidence * 0.5 END, 4) AS wc FROM m1 FULL JOIN m2 USING (product, uf, mes)),
+px AS (SELECT miss.*, wc, c2, coalesce(nullif({_KG}, 0), 1) AS kg, coalesce(l1.v, l2.v, l3.v, l4.v) AS hq, CASE WHEN l1.v IS NOT NULL THEN 100 WHEN l2.v IS NOT NULL THEN 30 WHEN l3.v IS NOT NULL THEN 20 ELSE 10 END AS confidence, coalesce(a1.v, l2.v, l1.v, l3.v, l4.v) AS base, coalesce(f1.v, f2.v, f3.v) AS factor, coalesce(ratio, 10000) AS ratio
   FROM miss LEFT JOIN l1 USING (product, uf, mes) LEFT JOIN l2 USING (product, uf) LEFT JOIN l3 USING (product, mes) LEFT JOIN l4 USING (product) LEFT JOIN a1 USING (product, uf)
-  LEFT JOIN f1 USING (product, uf, mes) LEFT JOIN f2 USING (product, region, mes) LEFT JOIN f3 USING (product, mes) LEFT JOIN t USING (product, uf, mes)),
-fc AS (SELECT product, uf, mes, CASE WHEN mes <= {MONTH} THEN hq * ratio / 10000.0 ELSE base * (1.0 + coalesce(factor, 0)) END AS p, CASE WHEN mes <= {MONTH} THEN hq ELSE base END AS r, CASE WHEN mes > {MONTH} AND factor IS NOT NULL THEN '{BY_FACTOR}' ELSE '{BY_MEAN}' END AS method, confidence FROM x),
+  LEFT JOIN f1 USING (product, uf, mes) LEFT JOIN f2 USING (product, region, mes) LEFT JOIN f3 USING (product, mes) LEFT JOIN t USING (product, uf, mes) LEFT JOIN w USING (product, uf, mes)),
+fc AS (SELECT product, uf, mes, CASE WHEN mes <= {MONTH} THEN hq * ratio / 10000.0 ELSE base * (1.0 + coalesce(factor, 0)) END / kg AS p, CASE WHEN mes <= {MONTH} THEN hq ELSE base END / kg AS r,
+  CASE WHEN mes <= {MONTH} AND wc IS NOT NULL THEN '{ANCHORED}' WHEN mes > {MONTH} AND factor IS NOT NULL THEN '{BY_FACTOR}' ELSE '{BY_MEAN}' END AS method, greatest(confidence, coalesce(CASE WHEN mes <= {MONTH} THEN wc ELSE c2 END, 0))::DOUBLE AS confidence FROM px),
 nxt AS (SELECT product, max(CAST(method = '{BY_FACTOR}' AS INTEGER)) AS has FROM fc WHERE mes = {MONTH + 1} GROUP BY ALL),
 parent AS (SELECT o.product, c.product AS parent FROM (SELECT DISTINCT product FROM now ANTI JOIN nxt USING (product)) o JOIN nxt c ON split_part(o.product, ' ', 1) = split_part(c.product, ' ', 1) QUALIFY row_number() OVER (PARTITION BY o.product ORDER BY has DESC, length(c.product), c.product) = 1),
 ratio AS (SELECT p.product, a.uf, CAST(sum(CAST(round(a.preco_q::DOUBLE / b.preco_q * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0 AS k FROM parent p JOIN now a ON a.product = p.product JOIN now b ON b.product = p.parent AND b.uf = a.uf AND b.mes = a.mes GROUP BY ALL),
@@ -110,9 +136,12 @@ SELECT product, uf, mes, p / 10000.0 AS price, r / 10000.0 AS reference, CASE WH
 )
 def j14_sandwich_projection(spark, sf_dir):
     """Projected prices of every month without one, products without history by a parent; status by 25 %."""
-    # Both are read several times; what an executor takes with it is computed again.
-    f = _observed(spark, sf_dir).persist()
-    out = with_proxies(projected(f, YEAR, MONTH).persist(), f, YEAR, MONTH)
+    f = folders.stored(_observed(spark, sf_dir))
+    pair = modal_pair(seasonality(f), (YEAR - 3, YEAR - 2), (YEAR - 2, YEAR - 1))
+    sure = F.round(rules.agreement_confidence(F.col("s1"), F.col("c1"), F.col("s2"), F.col("c2")), 4)
+    before = pair.select(*KEY, "mes", F.lit(ANCHORED).alias("method"), sure.alias("confidence"), F.col("c2").alias("base_confidence"))
+    kg = f.select(*KEY).distinct().select(*KEY, F.expr(_KG).alias("factor")).filter("factor is not null")
+    out = with_proxies(folders.stored(projected(f, YEAR, MONTH, kg, before)), f, YEAR, MONTH)
     p, r = F.col("price_q"), F.col("reference_q")
     return out.select(*KEY, "mes", (p / F.lit(10000.0)).alias("price"), (r / F.lit(10000.0)).alias("reference"), F.coalesce(rules.band(p, r, 25), F.lit(rules.YELLOW)).alias("status"), "method", "confidence")
 
@@ -122,13 +151,22 @@ def weighted_forecast(s: DataFrame, year: int, period: int) -> DataFrame:
 
     s is seasonality()'s result.  An observed month always beats its forecast.
     """
-    j = modal_pair(s, (year - 3, year - 2), (year - 2, year - 1))
-    s1, c1, s2, c2 = (F.col(x) for x in ("s1", "c1", "s2", "c2"))
-    base = j.select(*KEY, "mes", rules.agreement(s1, s2).alias("status"), F.round(rules.agreement_confidence(s1, c1, s2, c2), 4).alias("confidence"))
-    grid = tables.month_grid(base.select(*KEY).distinct()).join(base, [*KEY, "mes"], "left")
-    guessed = grid.select(*KEY, "mes", F.coalesce("status", F.lit(rules.YELLOW)).alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.lit(True).alias("is_forecast"))
-    real = s.filter((F.col("ano") == year) & (F.col("periodo") <= period)).select(*KEY, "mes", "status", F.lit(100.0).alias("confidence"), F.lit(False).alias("is_forecast"))
-    return windows.changes(tables.prefer(real, guessed, [*KEY, "mes"], []), KEY, "mes", "status", "trend")
+    # One grouping by series and month has both baselines and the observed status; the months come from one row for each series.
+    early, late = F.col("ano").isin(year - 3, year - 2), F.col("ano").isin(year - 2, year - 1)
+    now = (F.col("ano") == year) & (F.col("periodo") <= period)
+    counts = s.filter(early | late | now).groupBy(*KEY, "mes", "status").agg(F.count_if(early).alias("k1"), F.count_if(late).alias("k2"), F.count_if(now).alias("k3"))
+    best = lambda k: F.min(F.when((F.col(k) > 0) & F.col("status").isNotNull(), F.struct((-F.col(k)).alias("k"), "status")))
+    share = lambda k, b: (F.col(f"{b}.k") * -100.0 / F.nullif(F.col(k), F.lit(0)))
+    m = counts.groupBy(*KEY, "mes").agg(best("k1").alias("b1"), F.sum("k1").alias("t1"), best("k2").alias("b2"), F.sum("k2").alias("t2"), F.max(F.when(F.col("k3") > 0, F.struct("status"))).alias("real"))
+    s1, s2, c1, c2 = F.col("b1.status"), F.col("b2.status"), share("t1", "b1"), share("t2", "b2")
+    there = F.struct("mes", F.coalesce("real.status", rules.agreement(s1, s2), F.lit(rules.YELLOW)).alias("status"), F.when(F.col("real").isNotNull(), 100.0).otherwise(F.coalesce(F.round(rules.agreement_confidence(s1, c1, s2, c2), 4), F.lit(0.0))).alias("confidence"), F.col("real").isNull().alias("is_forecast"))
+    series = m.groupBy(*KEY).agg(F.collect_list(there).alias("known"), F.bool_or(F.col("b1").isNotNull() | F.col("b2").isNotNull()).alias("has_base"))
+    known = F.map_from_entries(F.transform("known", lambda x: F.struct(x["mes"], x)))
+    none = F.struct(F.lit(None).cast("int").alias("mes"), F.lit(rules.YELLOW).alias("status"), F.lit(0.0).alias("confidence"), F.lit(True).alias("is_forecast"))
+    # A series without a baseline has its observed months only.
+    months = F.when(F.col("has_base"), F.sequence(F.lit(1), F.lit(12))).otherwise(F.map_keys("by_month"))
+    rows = series.withColumn("by_month", known).select(*KEY, "by_month", F.explode(months).alias("mes")).withColumn("x", F.coalesce(F.try_element_at("by_month", F.col("mes")), none))
+    return windows.changes(rows.select(*KEY, "mes", "x.status", "x.confidence", "x.is_forecast"), KEY, "mes", "status", "trend")
 
 
 _RANK = lambda x: f"CASE {x} WHEN 'VERDE' THEN 0 WHEN 'AMARELO' THEN 1 WHEN 'VERMELHO' THEN 2 ELSE 3 END"
