@@ -121,7 +121,7 @@ _VALUE = "CASE WHEN mes = 5 THEN 'n/d' ELSE CAST((preco_q + CASE WHEN mes = 7 TH
 
 @query(
     f"""WITH fact AS FACT, raw AS (SELECT product AS produto, CASE WHEN mes % 2 = 0 THEN 'granel' ELSE '' END AS classificacao, uf, ano, CASE WHEN mes = 11 THEN 99 ELSE mes END AS mes, {_VALUE} AS valor, preco_q + CASE WHEN mes = 7 THEN 500 ELSE 0 END AS q FROM fact WHERE ano >= {YEAR - 1}),
-st AS (SELECT {_NAME} AS name, uf, ano, mes, preco_q FROM (SELECT *, upper(product) AS pu FROM fact) WHERE ano >= {YEAR - 1} AND obs % 4 <> 3 AND NOT (uf = 'NATION_2' AND upper(product) LIKE 'BRAND#1%')),
+st AS (SELECT {_NAME} AS name, uf, ano, mes, preco_q FROM (SELECT *, upper(product) AS pu FROM fact) WHERE ano >= {YEAR - 1} AND obs % 4 <> 3 AND NOT (uf LIKE 'NATION_1%' AND upper(product) LIKE 'BRAND#1%')),
 n AS (SELECT *, row_number() OVER () AS id FROM raw), t AS (SELECT n.*, unnest([CASE WHEN classificacao <> '' THEN upper(produto) || ' - GRANEL' END, upper(produto)]) AS name, unnest([0, 1]) AS k FROM n),
 h AS (SELECT t.id, t.name, st.ano = t.ano AND st.mes = t.mes AS same, st.preco_q, row_number() OVER (PARTITION BY t.id ORDER BY (st.ano = t.ano AND st.mes = t.mes) DESC, t.k, abs((t.ano - st.ano) * 12 + t.mes - st.mes), st.ano, st.mes, st.preco_q) AS r FROM t JOIN st ON st.name = t.name AND st.uf = t.uf)
 SELECT produto, classificacao, n.uf, CAST(n.ano AS VARCHAR) AS ano, CAST(n.mes AS VARCHAR) AS mes, valor, h.name AS found,
@@ -136,7 +136,7 @@ def j49_verdicts(spark, sf_dir):
     loose = F.col("mes") % 2 == 0
     raw = f.select(F.col("product").alias("produto"), F.when(loose, "granel").otherwise("").alias("classificacao"), "uf", F.col("ano").cast("string").alias("ano"), F.when(F.col("mes") == 11, 99).otherwise(F.col("mes")).cast("string").alias("mes"), value.alias("valor"))
     name = F.concat(F.upper("product"), F.when(loose, " - GRANEL").otherwise(""))
-    there = (F.col("obs") % 4 != 3) & ~((F.col("uf") == "NATION_2") & F.upper("product").startswith("BRAND#1"))
+    there = (F.col("obs") % 4 != 3) & ~(F.col("uf").startswith("NATION_1") & F.upper("product").startswith("BRAND#1"))
     known = f.select(F.upper("product").alias("name"), (~F.col("product").startswith("Brand#11")).alias("retail")).distinct()
     return audited(raw, known, f.filter(there).select(name.alias("name"), "uf", "ano", "mes", "preco_q"))
 
