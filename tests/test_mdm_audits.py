@@ -187,3 +187,42 @@ def test_projection_per_kg_keeps_methods_and_the_surer_confidence(spark):
     assert (got[11].method, got[11].confidence) == (forecasts.BY_FACTOR, 120.0) and got[12].confidence == 100.0
     plain = {r.mes: r.price_q for r in forecasts.projected(f, 2001, 8).collect()}
     assert plain[2] == 20000
+
+
+def test_root_words(spark):
+    df = spark.createDataFrame([("Alface Hidropônica Crespa",), ("Importado Pêssego",), ("nacional",), ("Uva Comumente",), (None,)], "n string")
+    assert [r[0] for r in df.select(text.root_word(F.col("n"), ["HIDROPONICA", "IMPORTADO", "NACIONAL", "COMUM"])).collect()] == ["ALFACE", "PESSEGO", "", "UVA", None]
+
+
+def test_old_names_still_work(spark):
+    from tidegrain.functions import aliases
+    from tidegrain.plans import registry
+
+    with pytest.warns(DeprecationWarning, match="text.name_key"):
+        key = aliases.function("fn_normalizar_nome_produto")(F.lit(" Maçã*  Fuji "))
+    with pytest.warns(DeprecationWarning):
+        status = aliases.function("fn_status_cor_regra_25")(F.lit(70), F.lit(100))
+    assert tuple(spark.range(1).select(key, status).first()) == ("MACA FUJI", "VERDE")
+    with pytest.warns(DeprecationWarning, match="h4_name_key"):
+        assert aliases.query("h4_name_key_all") == "h4_name_key"
+    assert aliases.query("j1_seasonality") == "j1_seasonality" and set(aliases.QUERIES.values()) <= set(registry.queries())
+
+
+def test_time_series_methods(spark):
+    year = [("p", "A", "R", 2000, m, 100) for m in range(1, 7)] + [("p", "A", "R", 2001, 1, 120)]
+    few = [("q", "A", "R", 2000, 3, 100), ("q", "A", "R", 2001, 1, 100), ("q", "A", "R", 2001, 2, 70), ("z", "A", "R", 2001, 2, 0), ("one", "A", "R", 2001, 2, 50)]
+    f = prices(spark, year + few).withColumn("curated", F.when(F.col("preco_q") == 70, 130))
+    got = {(r.product, r.periodo): (r.method, r.status, r.price_q, r.variation_bp, r.mom_bp) for r in forecasts.time_series(f, 2000).collect()}
+    assert got["p", 24013] == ("alpha_sazonal", "VERMELHO", 120, 2000, 2000)
+    assert got["q", 24014] == ("beta_media_disponivel", "VERMELHO", 130, 1818, 3000)
+    assert got["one", 24014] == ("gamma_cold_start", "AMARELO", 50, 0, None) and not any(k[0] == "z" for k in got)
+
+
+def test_injected_prices_stand_for_what_is_lacking(spark):
+    f = prices(spark, [("p", "A", "R", 2000, 1, 1000), ("p", "A", "R", 2000, 2, 3000), ("p", "B", "R", 2000, 1, 9000), ("p", "N", "R", 2000, 1, 1)])
+    flows = spark.createDataFrame([("p", "B", "M", 2), ("p", "A", "M", 2), ("p", "M", "M", 9), ("p", "A", "N", 5), ("q", "A", "M", 1)], "product string, origem string, destino string, n long")
+    products = spark.createDataFrame([("p",), ("q",), ("p",)], "product string")
+    assert rows(audits.lacking(f, flows, products, ["M", "N", "O"]), "product", "uf", "suppliers") == [("p", "M", "A, B, M"), ("p", "O", "sem_fluxo"), ("q", "M", "A"), ("q", "N", "sem_fluxo"), ("q", "O", "sem_fluxo")]
+    got = audits.injected(f, flows, products, ["M", "N", "O"], [2000, 2001]).collect()
+    assert {(r.product, r.uf, r.supplier, r.mean_q) for r in got} == {("p", "M", "A", 2000.0), ("p", "O", "A", 2000.0)}
+    assert len(got) == 48 and all(1800 <= r.preco_q <= 2200 for r in got) and len({r.preco_q for r in got}) > 20

@@ -61,9 +61,9 @@ def test_search_has_its_fuzzy_level(spark):
 def test_whole_jobs_leave_no_row_out(spark):
     own = lambda name: registry.queries()[name](spark, SF)
     rows = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
-    for name, of in (("h4_name_key_all", "documents"), ("h1_decimal_price_all", "lineitem"), ("f4_null_order_all", "supplier"), ("f9_status_order_all", "orders")):
+    for name, of in (("h4_name_key", "documents"), ("h1_decimal_price", "lineitem"), ("f4_null_order", "supplier"), ("f9_status_order", "orders")):
         assert own(name).count() == rows(of), name
-    assert own("b15_valid_rows_all").select("uf", "periodo").distinct().count() > 1
+    assert own("b15_valid_rows").select("uf", "periodo").distinct().count() > 1
     rank = {"F": 0, "P": 1}
-    order = [rank.get(r.o_orderstatus, 2) for r in own("f9_status_order_all").collect()]
+    order = [rank.get(r.o_orderstatus, 2) for r in own("f9_status_order").collect()]
     assert order == sorted(order)

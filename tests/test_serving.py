@@ -86,6 +86,8 @@ def test_a_second_page_reads_no_fact(spark, tmp_path):
             assert made == [1] and all("/answers/version=1/" in f for f in rows.inputFiles())
     assert seen == list(range(1000)) and made == [1]
     assert page(1, status="VERDE")[0] == 1000 and len(made) == 2
+    total, rows = kept.page({"uf": "SP"}, 1, make, ["k"], 2, 30, F.col("k") % 10 == 3)
+    assert total == 100 and [r.k for r in rows.collect()] == [303 + 10 * i for i in range(30)] and len(made) == 2
     # A newer version drops what was made of the older one.
     page(1, 2)
     assert len(made) == 3 and folders.names(spark, str(tmp_path / "answers")) == ["version=2"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -77,10 +78,10 @@ def display_name(x: Column, suffixes: Sequence[str] = ()) -> Column:
 
 
 def root_word(x: Column, stop: Sequence[str] = ()) -> Column:
-    """First word of a name once stop words at its end are gone."""
+    """First word of a name once stop words are gone, wherever they stand; a name of nothing else has an empty one."""
     k = fold(F.trim(x))
-    for s in stop:
-        k = F.regexp_replace(k, rf"\s+{s}$", "")
+    if stop:
+        k = F.trim(F.regexp_replace(k, rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(map(re.escape, stop))})(?![\p{{L}}\p{{N}}_])", " "))
     return F.split(k, r"\s+")[0]
 
 

@@ -164,3 +164,74 @@ def j41_gate(spark, sf_dir):
     s = seasonality(fact(spark, sf_dir))
     old = rules.mean_band(F.col("preco_q"), F.col("total"), F.col("n"))
     return gate(s.select("region", "ano", F.col("status").alias("new"), old.alias("old")), "old", "new", ["region", "ano"])
+
+
+# What injected prices are called.
+PROXY_SOURCE, EVERYWHERE = "FLUXO_PROXY", "GERAL"
+
+
+def lacking(f: DataFrame, flows: DataFrame, products: DataFrame, states: list[str]) -> DataFrame:
+    """The dry run: product, uf and suppliers (of the flows, joined) of every product that one of the states has no price of."""
+    grid = products.select("product").distinct().select("product", F.explode(F.array(*map(F.lit, states))).alias("uf"))
+    gaps = tables.without(grid, f, KEY)
+    names = flows.groupBy("product", F.col("destino").alias("uf")).agg(F.array_join(F.array_sort(F.collect_set("origem")), ", ").alias("suppliers"))
+    return gaps.join(names, KEY, "left").withColumn("suppliers", F.coalesce("suppliers", F.lit("sem_fluxo")))
+
+
+def injected(f: DataFrame, flows: DataFrame, products: DataFrame, states: list[str], years: list[int], spread: int = 10) -> DataFrame:
+    """Proxy prices of all months of some years for what lacking() lists: product, uf, supplier, mean_q, ano, mes and preco_q.
+
+    A price is the mean of the supplier with most units of the flow, else of
+    the state with most prices of the product (ties: by name), else of all
+    prices, moved by up to spread percent by a hash of the key, so that a run
+    that is repeated gives the same prices.  Products without any price get
+    none.
+    """
+    gaps = lacking(f, flows, products, states).select(*KEY)
+    by_flow = windows.top_per_key(flows.filter("origem <> destino").select("product", F.col("destino").alias("uf"), "origem", "n"), KEY, [F.desc("n"), F.asc("origem")]).select(*KEY, F.col("origem").alias("by_flow"))
+    own = f.groupBy("product", F.col("uf").alias("origem")).agg(F.sum("preco_q").alias("s"), F.count("*").alias("k"))
+    # A lacking state has no price of the product, so the best state is another one.
+    most = windows.top_per_key(own, ["product"], [F.desc("k"), F.asc("origem")]).select("product", F.col("origem").alias("by_rows"))
+    overall = f.groupBy("product").agg((F.sum("preco_q") / F.count("*")).alias("overall"))
+    x = gaps.join(by_flow, KEY, "left").join(most, "product", "left").withColumn("origem", F.coalesce("by_flow", "by_rows"))
+    x = x.join(own, ["product", "origem"], "left").join(overall, "product").withColumn("mean_q", F.coalesce(F.col("s") / F.col("k"), F.col("overall")))
+    x = x.withColumn("supplier", F.when(F.col("s").isNotNull(), F.col("origem")).otherwise(EVERYWHERE))
+    months = x.select(*KEY, "supplier", "mean_q", F.explode(F.array(*map(F.lit, years))).alias("ano")).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mes"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "product", "uf", "ano", "mes")), 1, 8), 16, 10).cast("long")
+    parts = spread * 200 + 1
+    return months.withColumn("preco_q", F.floor(F.col("mean_q") * (F.lit(10000 - spread * 100) + h % parts) / 10000).cast("long"))
+
+
+#: States of the query that lack prices.
+NEEDY = ["NATION_1", "NATION_4", "NATION_7", "NATION_15"]
+_FINE_FLOWS = """flows AS (SELECT p_name || ' ' || p_brand AS product, a.n_name AS origem, b.n_name AS destino, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey GROUP BY ALL)"""
+_GAPS = f"""fact AS {_FINE}, {_FINE_FLOWS}, pr AS (SELECT DISTINCT p_name || ' ' || p_brand AS product FROM part), gaps AS (SELECT product, uf FROM (SELECT product, uf FROM pr, (SELECT unnest({NEEDY}) AS uf)) ANTI JOIN fact USING (product, uf))"""
+
+
+def _gap_tables(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")  # noqa: E741
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    at = lambda t, key, of, name: table(spark, sf_dir, t).select(key, F.col(of).alias("n_nationkey")).join(n, "n_nationkey").select(key, F.col("n_name").alias(name))
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(at("customer", "c_custkey", "c_nationkey", "destino"), "c_custkey")
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(NAMED_PRODUCT).alias("product"))
+    sellers = at("supplier", "s_suppkey", "s_nationkey", "origem").withColumnRenamed("s_suppkey", "l_suppkey")
+    flows = l.join(buyers, "l_orderkey").join(sellers, "l_suppkey").join(products, "l_partkey").groupBy("product", "origem", "destino").agg(F.count("*").alias("n"))
+    return _fine(spark, sf_dir), flows, products
+
+
+@query(f"WITH {_GAPS} SELECT product, uf, coalesce(s, 'sem_fluxo') AS suppliers FROM gaps LEFT JOIN (SELECT product, destino AS uf, string_agg(DISTINCT origem, ', ' ORDER BY origem) AS s FROM flows GROUP BY ALL) USING (product, uf)")
+def j28_dry_run(spark, sf_dir):
+    return lacking(*_gap_tables(spark, sf_dir), NEEDY)
+
+
+@query(
+    f"""WITH {_GAPS}, bf AS (SELECT product, destino AS uf, origem AS by_flow FROM flows WHERE origem <> destino QUALIFY row_number() OVER (PARTITION BY product, destino ORDER BY n DESC, origem) = 1),
+own AS (SELECT product, uf AS origem, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS k FROM fact GROUP BY ALL), br AS (SELECT product, origem AS by_rows FROM own QUALIFY row_number() OVER (PARTITION BY product ORDER BY k DESC, origem) = 1),
+o AS (SELECT product, CAST(sum(preco_q) AS BIGINT)::DOUBLE / count(*) AS overall FROM fact GROUP BY ALL),
+x AS (SELECT gaps.product, gaps.uf, coalesce(by_flow, by_rows) AS origem, overall FROM gaps LEFT JOIN bf USING (product, uf) LEFT JOIN br USING (product) JOIN o USING (product)),
+y AS (SELECT x.product, x.uf, CASE WHEN own.s IS NULL THEN '{EVERYWHERE}' ELSE x.origem END AS supplier, coalesce(own.s::DOUBLE / own.k, overall) AS mean_q FROM x LEFT JOIN own ON own.product = x.product AND own.origem = x.origem)
+SELECT product, uf, supplier, mean_q, CAST(a AS INTEGER) AS ano, CAST(m AS INTEGER) AS mes, CAST(floor(mean_q * (9000 + CAST('0x' || left(md5(product || '|' || uf || '|' || a || '|' || m), 8) AS BIGINT) % 2001) / 10000) AS BIGINT) AS preco_q FROM y, range({YEAR - 1}, {YEAR + 1}) r(a), range(1, 13) q(m)"""
+)
+def j28_injected(spark, sf_dir):
+    return injected(*_gap_tables(spark, sf_dir), NEEDY, [YEAR - 1, YEAR])

@@ -27,14 +27,23 @@ def a6_landing_json(spark, sf_dir):
     return e.select("event_id", "event_type", F.col("p.k").alias("k")).filter("k is not null")
 
 
-@query("SELECT * FROM (VALUES (1, 'VERDE'), (2, 'AMARELO'), (3, 'VERMELHO')) v(id, status)")
+#: Labels of order states as an inline relation, which reads the same in both engines.
+_LABELS = "(VALUES ('F', 'VERDE', 1), ('P', 'AMARELO', 2), ('X', 'VERMELHO', 3)) AS v(code, status, place)"
+
+
+@query(f"SELECT v.place, v.status, count(o_orderkey) AS orders FROM {_LABELS} LEFT JOIN orders ON o_orderstatus = v.code GROUP BY ALL")
 def a7_inline_values(spark, sf_dir):
-    return spark.sql("SELECT * FROM VALUES (1, 'VERDE'), (2, 'AMARELO'), (3, 'VERMELHO') AS v(id, status)")
+    """Orders of each state that an inline relation names."""
+    labels = spark.sql(f"SELECT * FROM {_LABELS}")
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("code")).agg(F.count("*").alias("n"))
+    return labels.join(n, "code", "left").select("place", "status", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
-@query("SELECT CAST(y AS INTEGER) AS ano, CAST(m AS INTEGER) AS mes FROM range(1999, 2002) a(y), range(1, 13) b(m)")
+@query("WITH fact AS FACT, s AS (SELECT product, min(periodo) AS a, max(periodo) AS b FROM fact GROUP BY ALL) SELECT product, CAST(p AS INTEGER) AS periodo FROM s, LATERAL (SELECT unnest(range(a, b + 1)) AS p)")
 def a8_series(spark, sf_dir):
-    return spark.range(1).select(F.explode(F.sequence(F.lit(1999), F.lit(2001))).alias("ano")).select("ano", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mes"))
+    """Every period from a product's first to its last."""
+    s = fact(spark, sf_dir).groupBy("product").agg(F.min("periodo").alias("a"), F.max("periodo").alias("b"))
+    return s.select("product", F.explode(F.sequence("a", "b")).alias("periodo"))
 
 
 @query("WITH fact AS FACT SELECT product, uf, ano, mes, preco_q FROM fact WHERE uf = 'NATION_1' AND ano = 2000")
@@ -85,14 +94,8 @@ def b12_case_projection(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), F.coalesce(F.nullif("o_orderpriority", F.lit("5-LOW")), F.lit("padrao")).alias("origin"))
 
 
-@query("WITH fact AS FACT SELECT uf, product, preco_q FROM fact WHERE uf = 'NATION_2' AND periodo = 24005")
-def b15_valid_rows(spark, sf_dir):
-    f = fact(spark, sf_dir).filter((F.col("preco_q") > 0) & F.col("mes").between(1, 12) & (F.length("uf") > 2))
-    return f.filter("uf = 'NATION_2' AND periodo = 24005").select("uf", "product", "preco_q")
-
-
 @query("WITH fact AS FACT SELECT uf, product, periodo, preco_q FROM fact WHERE preco_q > 0 AND mes >= 1 AND mes <= 12 AND length(uf) > 2")
-def b15_valid_rows_all(spark, sf_dir):
+def b15_valid_rows(spark, sf_dir):
     f = fact(spark, sf_dir).filter((F.col("preco_q") > 0) & F.col("mes").between(1, 12) & (F.length("uf") > 2))
     return f.select("uf", "product", "periodo", "preco_q")
 
@@ -343,14 +346,7 @@ def g3_distinct(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_type").distinct()
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
-def f9_status_order(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    return o.orderBy(rank, F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus")
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC NULLS LAST, o_orderkey")
-def f9_status_order_all(spark, sf_dir):
+def f9_status_order(spark, sf_dir):
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
     return table(spark, sf_dir, "orders").orderBy(rank, F.desc_nulls_last("o_totalprice"), "o_orderkey").select("o_orderkey", "o_orderstatus")

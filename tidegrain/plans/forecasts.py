@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.functions import rules
@@ -234,6 +234,48 @@ def j4_predictive(spark, sf_dir):
     return x.select(*KEY, method.alias("method"), rules.mean_band(F.col("p"), F.col("s"), F.col("n"), 15, 1).alias("status"), F.expr("(p * n * 20000 + s) div (2 * s) - 10000").alias("variation_bp"))
 
 
+#: Months of the base year that make it reliable, and rows that a fallback over twelve months needs.
+RELIABLE_MONTHS, FALLBACK_ROWS = 6, 3
+
+
+def time_series(f: DataFrame, year: int) -> DataFrame:
+    """Every price of the base year and later against one reference of its series, with the change to the one before.
+
+    f has product, uf, ano, mes, periodo, preco_q and curated, which counts
+    instead of preco_q where there is one.  The reference is the base year's
+    mean if the year is reliable, else the mean of the twelve periods up to
+    the newest price, else the price itself.
+    """
+    p = f.withColumn("p", F.coalesce("curated", "preco_q")).filter("p > 0")
+    top = Window.partitionBy(*KEY)
+    x = p.withColumn("top", F.max("periodo").over(top))
+    base, last = F.col("ano") == year, F.col("periodo") > F.col("top") - 12
+    one = lambda c: (F.sum(F.when(c, F.col("p"))).over(top), F.count_if(c).over(top))
+    (bs, bn), (ls, ln) = one(base), one(last)
+    x = x.withColumns({"bs": bs, "bn": bn, "ls": ls, "ln": ln}).filter(F.col("ano") >= year)
+    x = x.withColumn("before", F.lag("p").over(Window.partitionBy(*KEY).orderBy("periodo")))
+    alpha, beta = F.col("bn") >= RELIABLE_MONTHS, F.col("ln") >= FALLBACK_ROWS
+    method = F.when(alpha, "alpha_sazonal").when(beta, "beta_media_disponivel").otherwise("gamma_cold_start")
+    x = x.withColumns({"s": F.when(alpha, F.col("bs")).when(beta, F.col("ls")).otherwise(F.col("p")), "n": F.when(alpha, F.col("bn")).when(beta, F.col("ln")).otherwise(F.lit(1))})
+    return x.select(*KEY, "periodo", F.col("p").alias("price_q"), method.alias("method"), rules.mean_band(F.col("p"), F.col("s"), F.col("n"), 15, 1).alias("status"), F.expr("(p * n * 20000 + s) div (2 * s) - 10000").alias("variation_bp"), F.expr("(p * 20000 + before) div (2 * before) - 10000").alias("mom_bp"))
+
+
+#: Curated prices of the query: single observations of every sixth month.
+_CURATED = "CASE WHEN obs = 1 AND mes % 6 = 0 THEN preco_q - 100 END"
+
+
+@query(
+    f"""WITH fact AS {FACT.replace("p_brand AS product", "p_name || ' ' || p_brand AS product")}, c AS (SELECT product, uf, ano, periodo, coalesce({_CURATED}, preco_q) AS p FROM fact),
+t AS (SELECT product, uf, max(periodo) AS top FROM c WHERE p > 0 GROUP BY ALL),
+r AS (SELECT product, uf, CAST(sum(p) FILTER (ano = {YEAR - 1}) AS BIGINT) AS bs, count(*) FILTER (ano = {YEAR - 1}) AS bn, CAST(sum(p) FILTER (periodo > top - 12) AS BIGINT) AS ls, count(*) FILTER (periodo > top - 12) AS ln FROM c JOIN t USING (product, uf) WHERE p > 0 GROUP BY ALL),
+x AS (SELECT c.*, lag(p) OVER (PARTITION BY product, uf ORDER BY periodo) AS before, CASE WHEN bn >= {RELIABLE_MONTHS} THEN bs WHEN ln >= {FALLBACK_ROWS} THEN ls ELSE p END AS s, CASE WHEN bn >= {RELIABLE_MONTHS} THEN bn WHEN ln >= {FALLBACK_ROWS} THEN ln ELSE 1 END AS n,
+  CASE WHEN bn >= {RELIABLE_MONTHS} THEN 'alpha_sazonal' WHEN ln >= {FALLBACK_ROWS} THEN 'beta_media_disponivel' ELSE 'gamma_cold_start' END AS method FROM c JOIN r USING (product, uf) WHERE p > 0 AND ano >= {YEAR - 1})
+SELECT product, uf, periodo, p AS price_q, method, CASE WHEN p * n * 100 < s * 85 THEN 'VERDE' WHEN p * n * 100 > s * 115 THEN 'VERMELHO' ELSE 'AMARELO' END AS status, (p * n * 20000 + s) // (2 * s) - 10000 AS variation_bp, (p * 20000 + before) // (2 * before) - 10000 AS mom_bp FROM x"""
+)
+def j4_time_series(spark, sf_dir):
+    return time_series(fact(spark, sf_dir, "p_name || ' ' || p_brand").withColumn("curated", F.expr(_CURATED)), YEAR - 1)
+
+
 @query(f"WITH fact AS FACT, b AS (SELECT product, uf, mes, CAST(sum(preco_q) AS BIGINT) AS s, count(*) AS n FROM fact WHERE ano IN ({YEAR - 2}, {YEAR - 1}) GROUP BY ALL), c AS (SELECT product, uf, mes, preco_q, prev FROM (SELECT *, lag(preco_q) OVER (PARTITION BY product, uf ORDER BY periodo) AS prev FROM fact) WHERE ano = {YEAR} AND periodo <= {PERIOD}) SELECT product, uf, mes, CASE WHEN preco_q IS NULL THEN 'BASELINE' WHEN n IS NULL THEN 'SEM_BASE' ELSE 'REAL' END AS kind, CASE WHEN preco_q IS NULL THEN 'AMARELO' WHEN n IS NULL THEN 'INSUFICIENTE' WHEN preco_q * n * 100 < s * 85 THEN 'VERDE' WHEN preco_q * n * 100 > s * 115 THEN 'VERMELHO' ELSE 'AMARELO' END AS status, (preco_q * 20000 + prev) // (2 * prev) - 10000 AS mom_bp FROM b FULL JOIN c USING (product, uf, mes)")
 def j5_two_year_baseline(spark, sf_dir):
     """Each calendar month's price against the mean of that month in two years, with the change to the month before."""

@@ -22,14 +22,8 @@ def _case(column, pairs, otherwise="NULL"):
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}', 'i') THEN '{v}'" for p, v in pairs) + f" ELSE {otherwise} END"
 
 
-@query("SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(replace(trim(replace(CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR), '.', ',')), ',', '.'), '') AS DECIMAL(14,4)) AS price FROM lineitem WHERE l_linenumber = 1")
-def h1_decimal_price(spark, sf_dir):
-    raw = F.replace(F.col("l_extendedprice").cast("decimal(14,2)").cast("string"), F.lit("."), F.lit(","))
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", text.decimal_price(raw).alias("price"))
-
-
 @query("SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(replace(trim(replace(CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR), '.', ',')), ',', '.'), '') AS DECIMAL(14,4)) AS price FROM lineitem")
-def h1_decimal_price_all(spark, sf_dir):
+def h1_decimal_price(spark, sf_dir):
     raw = F.replace(F.col("l_extendedprice").cast("decimal(14,2)").cast("string"), F.lit("."), F.lit(","))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.decimal_price(raw).alias("price"))
 
@@ -41,20 +35,11 @@ def h2_period_text(spark, sf_dir):
     return p.select("period", y.alias("ano"), m.alias("mes"))
 
 
-@query(
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(upper(trim(substr(split_part(text, chr(10), 1), 1, 60))), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇ', 'AAAAAEEEEIIIIOOOOOUUUUC'), '\s+', ' ', 'g'), '\s+-\s+', ' ', 'g'), '([A-Z])-([A-Z])', '\1 \2', 'g'), '([A-Z])-([A-Z])', '\1 \2', 'g'), '\*+', '', 'g'), ' -') AS key
-FROM documents WHERE lang IN ('es', 'fr')"""
-)
-def h4_name_key(spark, sf_dir):
-    head = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
-    return table(spark, sf_dir, "documents").filter("lang in ('es', 'fr')").select("doc_id", text.name_key(head).alias("key"))
-
-
 @query(
     r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(upper(trim(replace(text, 'ß', 'ss'))), 'ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇ', 'AAAAAEEEEIIIIOOOOOUUUUC'), '\s+', ' ', 'g'), '\s+-\s+', ' ', 'g'), '([A-Z])-([A-Z])', '\1 \2', 'g'), '([A-Z])-([A-Z])', '\1 \2', 'g'), '\*+', '', 'g'), ' -') AS key
 FROM documents"""
 )
-def h4_name_key_all(spark, sf_dir):
+def h4_name_key(spark, sf_dir):
     """Keys of whole texts of all languages; upper case of a sharp s is two letters, which DuckDB leaves out."""
     return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.col("text")).alias("key"))
 
@@ -92,6 +77,15 @@ def h11_collapsed(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.collapsed(F.col("p_type")).alias("name"), text.root_word(F.col("p_name")).alias("root"))
 
 
+#: Words of varieties that are no root.
+STOP = ("RED", "OLD", "COLD", "RING")
+
+
+@query("SELECT p_partkey, split_part(trim(regexp_replace(upper(p_name), '\\b(RED|OLD|COLD|RING)\\b', ' ', 'g')), ' ', 1) AS root FROM part")
+def h12_root_word(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.root_word(F.col("p_name"), STOP).alias("root"))
+
+
 @query("SELECT p_partkey, CASE p_size % 6 WHEN 2 THEN p_name || '-HORTI' WHEN 4 THEN 'a b ' || p_name WHEN 5 THEN '' ELSE p_name END AS shown FROM part")
 def h13_display_name(spark, sf_dir):
     """Names with a category suffix in several spellings, with pipes, with a hyphen of their own, with odd spaces, and empty before the pipe."""

@@ -19,12 +19,13 @@ class Answers:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def page(self, request: Mapping[str, Any], version: str | int, make: Callable[[], DataFrame], order: list[str], number: int = 1, size: int = 50) -> tuple[int, DataFrame]:
+    def page(self, request: Mapping[str, Any], version: str | int, make: Callable[[], DataFrame], order: list[str], number: int = 1, size: int = 50, where: Column | None = None) -> tuple[int, DataFrame]:
         """How many rows the request has, and one page of them in order (which must be total).
 
         The request's answer is made once for a version; a newer version drops
         the answers of older ones.  The rows are sorted over all tasks and
-        numbered within the slice of each, so no task sees all of them.
+        numbered within the slice of each, so no task sees all of them.  where
+        filters the kept rows: total and page are those of the rest.
         """
         key = hashlib.sha256(json.dumps(request, sort_keys=True, default=str).encode()).hexdigest()[:24]
         path = f"{self.folder}/version={version}/{key}"
@@ -33,6 +34,9 @@ class Answers:
                 if old != f"version={version}":
                     folders.drop(self.spark, f"{self.folder}/{old}")
             self._write(make(), path, [F.asc_nulls_last(c) for c in order])
+        if where is not None:
+            rest = self.spark.read.parquet(f"{path}/rows").filter(where)
+            return rest.count(), rest.orderBy("_slice", "_place").offset((number - 1) * size).limit(size).drop("_slice", "_place")
         slices = [(r["slice"], r["rows"]) for r in self.spark.read.schema("slice int, rows long").json(f"{path}/slices.json").collect()]
         wanted, before, low, high = [], 0, (number - 1) * size, number * size
         for s, rows in sorted(slices):
