@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrain.plans import audits, basic, composite, forecasts, loads, mdm, more, rules_queries, serving, text_queries, window_queries
+from tidegrain.plans import audits, basic, composite, forecasts, loads, mdm, more, rules_queries, serving, source_queries, text_queries, window_queries
 
-MODULES = (window_queries, basic, text_queries, rules_queries, composite, more, forecasts, loads, serving, mdm, audits)
+MODULES = (window_queries, basic, text_queries, rules_queries, composite, more, forecasts, loads, serving, mdm, audits, source_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
