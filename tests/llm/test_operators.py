@@ -178,6 +178,27 @@ def test_substring_hot_minimiser_is_split(spark, rows):
     assert got == expected
 
 
+def test_substring_weights_do_not_depend_on_what_a_worker_keeps(monkeypatch):
+    r, words = random.Random(6), vocabulary(3, 300)
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 300))) for _ in range(60)]
+    sums = []
+    for kept, portion in ((1 << 20, 8 << 20), (10, 2000)):
+        monkeypatch.setattr(substring, "PORTION", portion)
+        total = Counter()
+        for b in substring.weigh(iter(texts), 35, 1 << 16, kept):
+            for longer, slot, n in zip(b["longer"], b["slot"], b["bytes"], strict=True):
+                total[longer, slot] += n
+        sums.append(total)
+    assert sums[0] == sums[1] and len(sums[0]) > 500
+
+
+def test_substring_removed_of_awkward_rows(spark):
+    twice = " ".join(f"w{i}" for i in range(40))
+    docs = docs_of(spark, [(1, None), (2, ""), (None, "a  b"), (3, twice + " own"), (4, "x " + twice), (3, twice + " own")])
+    assert sorted(((r.doc_id or 0, r.text) for r in substring.removed(docs).collect())) == [(0, "a b"), (1, ""), (2, ""), (3, ""), (3, ""), (4, "x")]
+    assert substring.removed(docs.limit(0)).count() == 0
+
+
 def test_bpe_like_tiktoken(spark, rows):
     import tiktoken
 

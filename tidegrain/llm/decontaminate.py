@@ -34,8 +34,9 @@ SIMILARITY = 0.8
 BLOCKS, FLIPS = 8, 2
 #: Any fingerprint at most so far away shares a block with at most FLIPS flipped bits.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Characters of benchmark text that one pass broadcasts; a larger benchmark takes more passes.
-PASS_CHARS = 16_000_000
+#: Characters of benchmark text that one pass broadcasts; a larger benchmark takes more passes.  An index takes about 50
+#: bytes for each in every worker (measured: 80 MB for 1.6 million), so a pass stays near 100 MB.
+PASS_CHARS = 2_000_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, similarity double, start long, n_words long"
@@ -142,9 +143,9 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_
 
     Ties in similarity go to the first window.  Null, empty and wordless texts
     and items match nothing; an item longer than a document is held against
-    the whole document.  Repeated rows of docs are searched each; of items
-    with one id each text is searched and the best window kept; an item without
-    id is searched as well and found as null.  Empty tables
+    the whole document.  Repeated rows of docs are searched each; items that
+    share an id are items each, whose best windows are rows each, in whichever
+    pass they are; an item without id is searched as well and found as null.  Empty tables
     give an empty result; other columns are not read.
     """
     need(docs, "doc_id", "text")
@@ -169,7 +170,11 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """The rows and columns of docs in whose text no item is found, with or without an id; null texts stay."""
+    """The rows and columns of docs in whose text no item is found, with or without an id; null texts stay.
+
+    Rows that repeat are judged each; an empty benchmark leaves all rows, an
+    empty table gives an empty one.
+    """
     need(docs, "text")
     small_batches(docs.sparkSession)
     for index, last in _indexes(benchmark, least, pass_chars):

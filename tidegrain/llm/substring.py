@@ -42,6 +42,8 @@ MINIMISER = 4
 LONGER = 16
 #: Slots, at least, in which bytes are counted by minimiser, and slots for each bucket.
 SLOTS, SLOTS_PER_BUCKET = 1 << 16, 8
+#: Slots with their bytes that a worker holds before it sends them, however many slots there are.
+KEPT_SLOTS = 1 << 20
 #: Bytes of text after which a task sends its blobs, and packed bytes aimed at for a bucket.
 PORTION = 8 << 20
 BUCKET_BYTES = 12 << 20
@@ -100,28 +102,56 @@ def _pieces(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(keys))
 
 
-def super_kmers(words: list[bytes], window: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
+Hot = tuple[np.ndarray, np.ndarray, int]
+
+
+def _among(slots: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Whether the slots of keys are among sorted ones."""
+    if not len(slots):
+        return np.zeros(len(keys), bool)
+    mine = (keys & np.uint64(n - 1)).astype(np.int64)
+    return slots[np.minimum(np.searchsorted(slots, mine), len(slots) - 1)] == mine
+
+
+def super_kmers(words: list[bytes], window: int, hot: Hot | None = None) -> list[tuple[int, int, int]]:
     """(key, first window, windows) of each super-k-mer; windows are numbered by their first word.
 
-    The key is the minimiser unless its slot is hot (hot: flags by slot, of
-    minimisers and of minimisers with those of longer runs).
+    The key is the minimiser unless its slot is hot (hot: sorted slots of
+    minimisers, of minimisers with those of longer runs, and how many there are).
     """
     h = _hashes(words)
     keys = _minima(h, MINIMISER, window)
     if hot is not None:
-        slot = np.uint64(len(hot[0]) - 1)
-        warm = hot[0][(keys & slot).astype(np.int64)]
+        warm = _among(hot[0], keys, hot[2])
         if warm.any():
             longer = _mix(keys, _minima(h, LONGER, window))
-            own = warm & hot[1][(longer & slot).astype(np.int64)]
+            own = warm & _among(hot[1], longer, hot[2])
             keys = np.where(own, run_hashes(h, window), np.where(warm, longer, keys))
     starts, ends = _pieces(keys)
     return list(zip(keys[starts].tolist(), starts.tolist(), (ends - starts).tolist(), strict=True))
 
 
-def weigh(texts: Iterator[str], window: int, slots: int) -> Iterator[pd.DataFrame]:
+class _Sums:
+    """Bytes by slot, of which only slots that occur take memory."""
+
+    def __init__(self):
+        self.slots, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, slots: np.ndarray, n: np.ndarray) -> None:
+        every, at = np.unique(np.concatenate([self.slots, slots]), return_inverse=True)
+        # Sums of whole numbers below 2 ** 53 are exact.
+        self.bytes = np.bincount(at, np.concatenate([self.bytes, n]), len(every)).astype(np.int64)
+        self.slots = every
+
+    def sent(self, longer: bool) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(self.slots), 10_000):
+            yield pd.DataFrame({"longer": longer, "slot": self.slots[i : i + 10_000], "bytes": self.bytes[i : i + 10_000]})
+        self.__init__()
+
+
+def weigh(texts: Iterator[str], window: int, slots: int, kept: int = KEPT_SLOTS) -> Iterator[pd.DataFrame]:
     """Bytes of strings that pack() would send for each slot of minimisers, and of these with longer runs."""
-    totals = np.zeros((2, slots), np.int64)
+    totals = (_Sums(), _Sums())
     found: tuple[list, list] = ([], [])
     size = 0
 
@@ -130,7 +160,7 @@ def weigh(texts: Iterator[str], window: int, slots: int) -> Iterator[pd.DataFram
             if parts:
                 keys, ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 one = np.unique(ids, return_index=True)[1]
-                np.add.at(total, (keys[one] & np.uint64(slots - 1)).astype(np.int64), n[one])
+                total.add((keys[one] & np.uint64(slots - 1)).astype(np.int64), n[one])
             parts.clear()
 
     for text in texts:
@@ -149,21 +179,24 @@ def weigh(texts: Iterator[str], window: int, slots: int) -> Iterator[pd.DataFram
         if size >= PORTION:
             add()
             size = 0
+            for longer, total in enumerate(totals):
+                if len(total.slots) > kept:
+                    yield from total.sent(bool(longer))
     add()
     for longer, total in enumerate(totals):
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 10_000):
-            yield pd.DataFrame({"longer": bool(longer), "slot": some[i : i + 10_000], "bytes": total[some[i : i + 10_000]]})
+        yield from total.sent(bool(longer))
+
 
+def hot_slots(texts: DataFrame, window: int, buckets: int, bucket_bytes: int) -> Hot:
+    """The slots whose strings are more than a bucket should have: of minimisers, and of these with longer runs.
 
-def hot_slots(texts: DataFrame, window: int, buckets: int, bucket_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the strings of a slot are more than a bucket should have: of minimisers, and of these with longer runs."""
+    Their number is at most that of the buckets.
+    """
     slots = max(SLOTS, 1 << (SLOTS_PER_BUCKET * buckets - 1).bit_length())
     counted = texts.select("text").mapInPandas(lambda it: weigh((t for b in it for t in b["text"]), window, slots), COUNTED)
-    hot = np.zeros((2, slots), bool)
     table = counted.groupBy("longer", "slot").agg(F.sum("bytes").alias("n")).filter(F.col("n") > bucket_bytes).select("longer", "slot").toArrow()
-    hot[table.column("longer").to_numpy().astype(np.int64), table.column("slot").to_numpy()] = True
-    return hot[0], hot[1]
+    longer, slot = table.column("longer").to_numpy().astype(bool), table.column("slot").to_numpy()
+    return np.sort(slot[~longer]), np.sort(slot[longer]), slots
 
 
 def _blob(entries: list, compress) -> bytes:
@@ -180,7 +213,7 @@ def _unblob(data: bytes, expand) -> tuple[np.ndarray, bytes]:
     return meta, raw[8 + n * 40 :]
 
 
-def pack(batches: Iterator[pd.DataFrame], window: int, buckets: int, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+def pack(batches: Iterator[pd.DataFrame], window: int, buckets: int, hot: Hot | None = None) -> Iterator[pd.DataFrame]:
     """Blobs by bucket, and marks for strings that a portion has twice or more."""
     compress = zstandard.ZstdCompressor(level=3).compress
     seen: dict[bytes, list] = {}
@@ -309,7 +342,11 @@ def marked(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYT
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and text without the repeated words (kept words joined by one space)."""
+    """doc_id and text without the repeated words (kept words joined by one space).
+
+    Null texts become empty ones; rows that repeat lose what repeats, each; an
+    empty table gives an empty one; other columns are not kept.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
