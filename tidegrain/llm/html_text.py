@@ -6,7 +6,8 @@ paragraph-like blocks are parted by an empty line, list items get bullets or
 numbers and indentation, preformatted text keeps its space, and table cells
 are padded so that columns line up.  Form controls show their values, closed
 selects the chosen option, drawings their text elements, and objects, which
-are never loaded, their fallback.  Neither recurses.
+are never loaded, their fallback.  Style sheets decide what is hidden (see css),
+not how the rest is laid out.  Neither recurses.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrain.llm import css
 from tidegrain.llm.common import need, small_batches
 
 # Element classes of the HTML standard.
@@ -41,27 +43,24 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd".split())
 SCOPE = frozenset("table td th caption button html template".split())
+#: Rows of a cell with a rowspan of 0, which goes to the end of its table part.
+ALL_ROWS = 1 << 20
 #: Elements nested deeper become siblings, as browsers have it.
 DEEPEST = 512
 #: Deeper lists are indented no further.
 DEEPEST_INDENT = 40
 
-#: Style rules that hide: lists of plain tag, class and id selectors; others are not followed.
-_RULE = re.compile(r"([^{}@;]*)\{([^{}]*)\}")
-_AT_BLOCK = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
-_COMMENT = re.compile(r"/\*.*?\*/", re.S)
-_SELECTOR = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?").fullmatch
-
-_NONE = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    """An element; own is what its style attribute says, said what counts once style sheets are read (see css)."""
+
+    __slots__ = ("attrs", "children", "own", "said", "tag")
 
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.own = self.said = css.inline(attrs["style"]) if "style" in attrs else {}
 
 
 class TreeBuilder(HTMLParser):
@@ -96,6 +95,7 @@ class TreeBuilder(HTMLParser):
         attrs = {k: v or "" for k, v in attrs}
         if tag == "html":
             self.root.attrs |= {k: v for k, v in attrs.items() if k not in self.root.attrs}
+            self.root.own = self.root.said = css.inline(self.root.attrs.get("style", ""))
             return
         if tag not in HEAD and self.in_head:
             # What cannot stand in the head ends it.
@@ -281,38 +281,13 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def hiding_selectors(root: Node) -> tuple[frozenset, ...]:
-    """Tags, classes, ids, and tags with a class or id that the page's style sheets give display: none."""
-    found: tuple[set, ...] = (set(), set(), set(), set())
-    stack = [root]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            continue
-        if x.tag == "style":
-            sheet = _AT_BLOCK.sub("", _COMMENT.sub("", "".join(c for c in x.children if isinstance(c, str))))
-            for names, body in _RULE.findall(sheet):
-                if _NONE.search(body):
-                    for name in map(str.strip, names.split(",")):
-                        if name and _SELECTOR(name):
-                            kind = 1 if name[0] == "." else 2 if name[0] == "#" else 3 if "." in name or "#" in name else 0
-                            found[kind].add(name[1:] if kind in (1, 2) else name.lower() if kind == 0 else name)
-            continue
-        stack.extend(x.children)
-    return tuple(map(frozenset, found))
-
-
-def _styled_away(node: Node, hiding: tuple[frozenset, ...]) -> bool:
-    tags, classes, ids, both = hiding
-    own, name = node.attrs.get("class", "").split(), node.attrs.get("id", "")
-    if node.tag in tags or name in ids or any(c in classes for c in own):
-        return True
-    return bool(both) and any(f"{node.tag}{x}" in both for x in (f"#{name}", *(f".{c}" for c in own)))
-
-
 def _hidden(node: Node) -> bool:
-    a = node.attrs
-    return node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or bool(_NONE.search(a.get("style", "")))
+    """Whether a node and all below it are not laid out; what a style says goes before what the element is, but for parts that never show."""
+    if node.tag in UNSEEN:
+        return True
+    if "display" in node.said:
+        return node.said["display"][1] == "none"
+    return "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
 
 
 def _strings(node: Node) -> str:
@@ -372,11 +347,27 @@ def _number(value: str, default: int, most: int) -> int:
     return min(int(value), most) if value.isdecimal() and len(value) < 9 else default
 
 
+def _numeral(n: int, kind: str) -> str:
+    """A list number as its list's type has it; numbers that letters or Roman numerals cannot write stay as they are."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, rest = divmod(n - 1, 26)
+            out = chr(97 + rest) + out
+    elif kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, letters in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split(), strict=True):
+            while n >= value:
+                out, n = out + letters, n - value
+    else:
+        return str(n)
+    return out.upper() if kind.isupper() else out
+
+
 def render(root: Node) -> str:
     """Visible text of a tree."""
     page = Flow()
-    hiding = hiding_selectors(root)
-    styled = any(hiding)
+    css.styled(root, lambda x: isinstance(x, str))
     flows, tables, lists = [page], [], []
     # Of a drawing, only text elements and foreign objects show their strings.
     stack = [(root, False, True, False, False)]
@@ -395,7 +386,7 @@ def render(root: Node) -> str:
         if leaving:
             if tag in ("td", "th") and tables and tables[-1][1] is not None:
                 flows.pop()
-                tables[-1][1].append((flow.result(), max(1, _number(node.attrs.get("colspan", ""), 1, 100)), max(1, _number(node.attrs.get("rowspan", ""), 1, 1000))))
+                tables[-1][1].append((flow.result(), max(1, _number(node.attrs.get("colspan", ""), 1, 100)), _number(node.attrs.get("rowspan", ""), 1, 1000) or ALL_ROWS))
             elif tag == "tr" and tables:
                 if tables[-1][1]:
                     tables[-1][0].append(tables[-1][1])
@@ -419,10 +410,11 @@ def render(root: Node) -> str:
                 flow.end()
                 flow.gap = flow.gap or tag in SPACED
             continue
-        if _hidden(node) or styled and _styled_away(node, hiding) or drawing and (tag in UNDRAWN or node.attrs.get("display", "").strip() == "none"):
+        if _hidden(node) or drawing and (tag in UNDRAWN or node.attrs.get("display", "").strip() == "none" and "display" not in node.said):
             continue
-        seen = _VISIBILITY.search(node.attrs.get("style", "") or drawing and f"visibility:{node.attrs.get('visibility', '')}" or "")
-        shown = seen[1].lower() == "visible" if seen else shown
+        # An attribute of a drawing is weaker than any style.
+        seen = node.said.get("visibility", (False, node.attrs.get("visibility", "").strip().lower() if drawing else ""))[1]
+        shown = seen == "visible" if seen in css.VISIBILITIES else shown
         pre = pre or tag in ("pre", "listing", "xmp")
         if tag == "br":
             flow.end(True)
@@ -455,7 +447,8 @@ def render(root: Node) -> str:
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.end()
             flow.gap = flow.gap or not lists
-            lists.append([_number(node.attrs.get("start", ""), 1, 10**8) if tag == "ol" else None, ""])
+            items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if "reversed" in node.attrs else 1
+            lists.append([_number(node.attrs.get("start", ""), items, 10**8) if tag == "ol" else None, "", node.attrs.get("type", "1").strip(), -1 if "reversed" in node.attrs else 1])
         elif tag in ("li", "dd", "blockquote"):
             flow.end()
             flow.gap = flow.gap or tag == "blockquote"
@@ -463,8 +456,8 @@ def render(root: Node) -> str:
                 mark = "- "
                 if lists and lists[-1][0] is not None:
                     lists[-1][0] = _number(node.attrs.get("value", ""), lists[-1][0], 10**8)
-                    mark = f"{lists[-1][0]}. "
-                    lists[-1][0] += 1
+                    mark = f"{_numeral(lists[-1][0], lists[-1][2])}. "
+                    lists[-1][0] += lists[-1][3]
                 if lists:
                     lists[-1][1] = mark
                 flow.indent += len(mark)
