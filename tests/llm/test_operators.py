@@ -491,6 +491,37 @@ def test_toxicity_label_model_learns_without_gold():
     assert ((alone.posterior(masks) > 0.5) == (guided.posterior(masks) > 0.5)).all()
 
 
+def test_toxicity_label_model_is_that_of_single_documents():
+    """Rounds of EM over patterns with counts equal rounds over the documents one by one, in plain Python."""
+    import math
+
+    r, v = random.Random(9), toxicity.VOTERS
+    rows = [sum((r.random() < (0.7 if toxic else 0.1)) << k for k in range(v)) for toxic in (r.random() < 0.3 for _ in range(120))]
+    masks = sorted(set(rows))
+    model = toxicity.LabelModel(np.array(masks), np.array([rows.count(m) for m in masks], float), rounds=7)
+    bit = lambda m, j: m >> j & 1
+    first = toxicity.LabelModel(np.array(masks), np.array([rows.count(m) for m in masks], float), rounds=1)
+    second = toxicity.LabelModel(np.array(masks), np.array([rows.count(m) for m in masks], float), rounds=6)
+    for fitted, rounds, parents in ((first, 1, [first.parent]), (model, 7, [first.parent, second.parent])):
+        q = [1 / (1 + math.exp(-(bin(m).count("1") - 3.0))) for m in rows]
+        for k in range(rounds):
+            parent = parents[k // 5]
+            prior = [(sum(1 - x for x in q) + 1) / (len(q) + 2), (sum(q) + 1) / (len(q) + 2)]
+            fire = {}
+            for j in range(v):
+                for a in (0, 1):
+                    for y in (0, 1):
+                        w = [(x if y else 1 - x) for x in q]
+                        base = (sum(x * bit(m, j) for x, m in zip(w, rows, strict=True)) + 0.5) / (sum(w) + 1)
+                        own = [(x, m) for x, m in zip(w, rows, strict=True) if (bit(m, parent[j]) if parent[j] >= 0 else 0) == a]
+                        fire[j, a, y] = (sum(x * bit(m, j) for x, m in own) + 2 * base) / (sum(x for x, _ in own) + 2)
+            chance = lambda m, y: prior[y] * math.prod(fire[j, bit(m, parent[j]) if parent[j] >= 0 else 0, y] if bit(m, j) else 1 - fire[j, bit(m, parent[j]) if parent[j] >= 0 else 0, y] for j in range(v))  # noqa: B023, E731
+            q = [chance(m, 1) / (chance(m, 0) + chance(m, 1)) for m in rows]
+        assert np.allclose(fitted.posterior(np.array(rows)), q, atol=1e-9)
+    q = model.posterior(np.array(rows))
+    assert np.allclose(model.accuracies(), [np.mean([x if bit(m, j) else 1 - x for x, m in zip(q, rows, strict=True)]) for j in range(v)])
+
+
 def test_toxicity_training_rows_are_bounded(spark):
     docs = docs_of(spark, [(i % 7, "x" if i % 2 else f"y{i}") for i in range(400)])
     voted = toxicity.vote(docs, toxicity.Lexicon(["y", "x"], [5.0, 5.0]))

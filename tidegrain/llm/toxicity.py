@@ -166,7 +166,7 @@ class LabelModel:
     def __init__(self, masks: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 40):
         """masks: distinct vote patterns; counts: rows that have them; start: a first guess of their class."""
         self.bits = (masks[:, None] >> np.arange(VOTERS)) & 1
-        self.masks = masks
+        self.masks, self.counts = masks, np.asarray(counts, float)
         # Without a guess, class 1 is the one in which more voters fire.
         q = 1 / (1 + np.exp(-(self.bits.sum(1) - 3.0))) if start is None else start
         self.parent = np.full(VOTERS, -1)
@@ -218,9 +218,9 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
 
     def accuracies(self) -> np.ndarray:
-        """Of each voter, the chance that its vote equals the class, under the fitted patterns."""
-        q = self.posterior(self.masks)
-        return np.array([(q * b + (1 - q) * (1 - b)).mean() for b in self.bits.T])
+        """Of each voter, the chance that its vote on a document equals the class; a pattern counts by its documents."""
+        q, n = self.posterior(self.masks), max(self.counts.sum(), 1e-9)
+        return np.array([((q * b + (1 - q) * (1 - b)) * self.counts).sum() / n for b in self.bits.T])
 
 
 def fit_label_model(voted: DataFrame, sample: DataFrame) -> LabelModel:
