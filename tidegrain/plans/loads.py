@@ -61,12 +61,13 @@ _ORDER = ("ferragens", "pecas", "joias", "ausente", "outros")
 
 
 def grouped_in_order(df: DataFrame, category: Column, name: str, order: tuple[str, ...] = _ORDER) -> DataFrame:
-    """position, category and the sorted names of each category that has any, in the fixed order."""
+    """position, category and name, a row for each name, in the fixed order of categories; those without names have no row."""
     places = F.create_map(*[F.lit(x) for i, c in enumerate(order, 1) for x in (c, i)])
-    return df.groupBy(category.alias("category")).agg(F.array_sort(F.collect_set(name)).alias("names")).select(places[F.col("category")].alias("position"), "category", F.array_join("names", ", ").alias("names")).orderBy("position")
+    rows = df.select(category.alias("category"), F.col(name).alias("name")).distinct()
+    return rows.select(places[F.col("category")].alias("position"), "category", "name").orderBy("position", "name")
 
 
-@query(f"WITH c AS (SELECT p_name, coalesce(map_extract(MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in _MACRO.items())}}}, split_part(p_name, ' ', -1))[1], 'outros') AS category FROM part) SELECT list_position([{', '.join(map(repr, _ORDER))}], category)::INTEGER AS position, category, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS names FROM c GROUP BY category ORDER BY position")
+@query(f"WITH c AS (SELECT p_name, coalesce(map_extract(MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in _MACRO.items())}}}, split_part(p_name, ' ', -1))[1], 'outros') AS category FROM part) SELECT list_position([{', '.join(map(repr, _ORDER))}], category)::INTEGER AS position, category, p_name AS name FROM c GROUP BY category, p_name ORDER BY position, name")
 def h15_category_groups(spark, sf_dir):
     word = F.element_at(F.split("p_name", " "), -1)
     known = F.create_map(*[F.lit(x) for pair in _MACRO.items() for x in pair])
