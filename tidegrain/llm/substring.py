@@ -132,26 +132,37 @@ def super_kmers(words: list[bytes], window: int, hot: Hot | None = None) -> list
 
 
 class _Sums:
-    """Bytes by slot, of which only slots that occur take memory."""
+    """Bytes by slot, of which only slots that occur take memory; what comes in is sorted once it is kept or more."""
 
-    def __init__(self):
-        self.slots, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, kept: int = KEPT_SLOTS):
+        self.parts, self.size, self.kept = [], 0, kept
 
     def add(self, slots: np.ndarray, n: np.ndarray) -> None:
-        every, at = np.unique(np.concatenate([self.slots, slots]), return_inverse=True)
-        # Sums of whole numbers below 2 ** 53 are exact.
-        self.bytes = np.bincount(at, np.concatenate([self.bytes, n]), len(every)).astype(np.int64)
-        self.slots = every
+        self.parts.append((slots, n))
+        self.size += len(slots)
+        if self.size > self.kept:
+            self._sort()
+
+    def _sort(self) -> tuple[np.ndarray, np.ndarray]:
+        slots, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(slots, kind="stable")
+        slots, n = slots[order], n[order]
+        first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        slots, n = slots[first], np.add.reduceat(n, first)
+        self.parts, self.size = [(slots, n)], len(slots)
+        return slots, n
 
     def sent(self, longer: bool) -> Iterator[pd.DataFrame]:
-        for i in range(0, len(self.slots), 10_000):
-            yield pd.DataFrame({"longer": longer, "slot": self.slots[i : i + 10_000], "bytes": self.bytes[i : i + 10_000]})
-        self.__init__()
+        if self.size:
+            slots, n = self._sort()
+            for i in range(0, len(slots), 10_000):
+                yield pd.DataFrame({"longer": longer, "slot": slots[i : i + 10_000], "bytes": n[i : i + 10_000]})
+        self.parts, self.size = [], 0
 
 
 def weigh(texts: Iterator[str], window: int, slots: int, kept: int = KEPT_SLOTS) -> Iterator[pd.DataFrame]:
     """Bytes of strings that pack() would send for each slot of minimisers, and of these with longer runs."""
-    totals = (_Sums(), _Sums())
+    totals = (_Sums(kept), _Sums(kept))
     found: tuple[list, list] = ([], [])
     size = 0
 
@@ -180,7 +191,8 @@ def weigh(texts: Iterator[str], window: int, slots: int, kept: int = KEPT_SLOTS)
             add()
             size = 0
             for longer, total in enumerate(totals):
-                if len(total.slots) > kept:
+                # Sorted and still that many: the rows go.
+                if total.size > kept // 2:
                     yield from total.sent(bool(longer))
     add()
     for longer, total in enumerate(totals):
