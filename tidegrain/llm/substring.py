@@ -135,13 +135,14 @@ class _Sums:
     """Bytes by slot, of which only slots that occur take memory; what comes in is sorted once it is kept or more."""
 
     def __init__(self, kept: int = KEPT_SLOTS):
-        self.parts, self.size, self.kept = [], 0, kept
+        self.parts, self.size, self.kept, self.full = [], 0, kept, False
 
     def add(self, slots: np.ndarray, n: np.ndarray) -> None:
         self.parts.append((slots, n))
         self.size += len(slots)
         if self.size > self.kept:
             self._sort()
+            self.full = self.size > self.kept // 2
 
     def _sort(self) -> tuple[np.ndarray, np.ndarray]:
         slots, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -157,7 +158,7 @@ class _Sums:
             slots, n = self._sort()
             for i in range(0, len(slots), 10_000):
                 yield pd.DataFrame({"longer": longer, "slot": slots[i : i + 10_000], "bytes": n[i : i + 10_000]})
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.full = [], 0, False
 
 
 def weigh(texts: Iterator[str], window: int, slots: int, kept: int = KEPT_SLOTS) -> Iterator[pd.DataFrame]:
@@ -191,8 +192,7 @@ def weigh(texts: Iterator[str], window: int, slots: int, kept: int = KEPT_SLOTS)
             add()
             size = 0
             for longer, total in enumerate(totals):
-                # Sorted and still that many: the rows go.
-                if total.size > kept // 2:
+                if total.full:
                     yield from total.sent(bool(longer))
     add()
     for longer, total in enumerate(totals):
