@@ -149,6 +149,16 @@ def test_raw_folder_of_both_formats_and_encodings(spark, tmp_path):
     assert sorted((r.id, r.body.a if r.body else None) for r in files.landing(landed, "body", "a int").collect()) == [(1, 5), (2, None)]
 
 
+def test_encodings_are_found_file_by_file(spark, tmp_path):
+    text = "Código;Descrição;n\nÅ1;à vista  ção;1\nx;;2\n"
+    (tmp_path / "a.csv").write_bytes(text.replace(" ", "").encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes(text.replace(" ", "").encode())
+    got = files.read_delimited(spark, str(tmp_path))
+    assert sorted((r["código"], r["descrição"] or "", r.n, r._arquivo) for r in got.collect()) == [(k, v, n, f) for k, v, n in (("x", "", "2"), ("Å1", "à vista ção", "1")) for f in ("a.csv", "b.csv")]
+    forced = files.read_delimited(spark, str(tmp_path / "a.csv"), encoding="ISO-8859-1")
+    assert forced.columns == ["código", "descrição", "n", "_arquivo"] and forced.count() == 2
+
+
 def test_null_aware_lookups(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     some, null, none = (spark.createDataFrame(x, "k int") for x in ([(1,)], [(1,), (None,)], []))

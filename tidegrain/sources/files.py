@@ -18,28 +18,37 @@ RAW_PRICES = T.StructType([T.StructField(c, T.StringType()) for c in ("produto",
 RAW_NAMES = {"produto": ("nome_produto", "product"), "valor_produto_kg": ("preco", "preco_medio", "valor"), "uf": ("estado",)}
 
 
-def _decoded(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Files below path by encoding: UTF-8 where every line is valid, else ISO-8859-1."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad"))
-    rows = lines.groupBy("file").agg(F.bool_or("bad").alias("bad")).collect()  # one row for each file
-    names = lambda bad: sorted(r["file"] for r in rows if r["bad"] == bad)
-    return [(e, f) for e, f in (("UTF-8", names(False)), ("ISO-8859-1", names(True))) if f]
+def _is_utf8(spark: SparkSession, path: str) -> DataFrame:
+    """file and utf8 (every line is valid) of each file below path that has lines."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("good"))
+    return lines.groupBy("file").agg(F.bool_and("good").alias("utf8"))
+
+
+def _put_right(name: str) -> str:
+    """A header that was read byte by byte, as UTF-8 if it is that."""
+    try:
+        return name.encode("latin-1").decode()
+    except UnicodeError:
+        return name
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Delimited text with a header, all columns text, headers normalised, and the file each row is from.
 
     Rows that do not fit keep what they have.  Without an encoding each file
-    is read as UTF-8 if it is that, else as ISO-8859-1.
+    is read as UTF-8 if it is that, else as ISO-8859-1: all are read byte by
+    byte, which loses nothing, and the texts of UTF-8 files are put right by a
+    join with the table of files, so no list of files goes to the driver.
     """
-    found = []
-    for name, files in [(encoding, [path])] if encoding else _decoded(spark, path):
-        reader = spark.read.option("sep", sep).option("header", True).option("encoding", name).option("mode", "PERMISSIVE")
-        df = (reader.schema(schema) if schema else reader).csv(files)
-        found.append(df.select(*[F.col(f"`{c}`").alias(column_key(c)) for c in df.columns], F.col("_metadata.file_name").alias("_arquivo")))
-    if not found:
-        raise ValueError(f"no lines below {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    reader = spark.read.option("sep", sep).option("header", True).option("encoding", encoding or "ISO-8859-1").option("mode", "PERMISSIVE")
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    rows = df.select("*", F.col("_metadata.file_name").alias("_arquivo"), F.col("_metadata.file_path").alias("_file"))
+    names = {c: column_key(c if encoding or schema else _put_right(c)) for c in df.columns}
+    if not encoding:
+        rows = rows.join(_is_utf8(spark, path), F.col("_file") == F.col("file"), "left")
+    as_utf8 = lambda c: c if encoding else F.when(F.col("utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return rows.select(*[(as_utf8(F.col(f"`{c}`")) if c in texts else F.col(f"`{c}`")).alias(names[c]) for c in df.columns], "_arquivo")
 
 
 def read_raw(spark: SparkSession, folder: str) -> DataFrame:
