@@ -157,9 +157,15 @@ def tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
 
 
 def meeting(pairs: DataFrame, others: DataFrame) -> DataFrame:
-    """The pairs (hub, c) whose prefixes meet under the other orders as well."""
-    hub = others.select(F.col("c").alias("hub"), F.col("other").alias("hub_other"), F.col("third").alias("hub_third"))
-    both = pairs.join(hub, "hub").join(others, "c")
+    """The pairs (hub, c) whose prefixes meet under the other orders as well.
+
+    Prefixes are long and pairs are few, so those of other classes are left
+    where they are.
+    """
+    n = pairs.count()
+    of = lambda side: wanted(others, "c", pairs.select(F.col(side).alias("key")), n)
+    hub = of("hub").select(F.col("c").alias("hub"), F.col("other").alias("hub_other"), F.col("third").alias("hub_third"))
+    both = pairs.join(hub, "hub").join(of("c"), "c")
     return both.filter(F.arrays_overlap("other", "hub_other") & F.arrays_overlap("third", "hub_third")).select("hub", "c")
 
 
