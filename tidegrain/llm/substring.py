@@ -132,12 +132,17 @@ def super_kmers(words: list[bytes], window: int, hot: Hot | None = None) -> list
 
 
 class _Sums:
-    """Bytes by slot, of which only slots that occur take memory; what comes in is sorted once it is kept or more."""
+    """Bytes by slot: a plain array if there are few slots, else those that occur, sorted when more than kept have come in."""
 
-    def __init__(self, kept: int = KEPT_SLOTS):
+    def __init__(self, slots: int, kept: int = KEPT_SLOTS):
+        self.dense = np.zeros(slots, np.int64) if slots <= kept else None
         self.parts, self.size, self.kept, self.full = [], 0, kept, False
 
     def add(self, slots: np.ndarray, n: np.ndarray) -> None:
+        if self.dense is not None:
+            # Sums of whole numbers below 2 ** 53 are exact.
+            self.dense += np.bincount(slots, n, len(self.dense)).astype(np.int64)
+            return
         self.parts.append((slots, n))
         self.size += len(slots)
         if self.size > self.kept:
@@ -146,7 +151,7 @@ class _Sums:
 
     def _sort(self) -> tuple[np.ndarray, np.ndarray]:
         slots, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(slots, kind="stable")
+        order = np.argsort(slots)
         slots, n = slots[order], n[order]
         first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
         slots, n = slots[first], np.add.reduceat(n, first)
@@ -154,16 +159,21 @@ class _Sums:
         return slots, n
 
     def sent(self, longer: bool) -> Iterator[pd.DataFrame]:
-        if self.size:
+        if self.dense is not None:
+            slots = np.flatnonzero(self.dense)
+            n = self.dense[slots]
+        elif self.size:
             slots, n = self._sort()
-            for i in range(0, len(slots), 10_000):
-                yield pd.DataFrame({"longer": longer, "slot": slots[i : i + 10_000], "bytes": n[i : i + 10_000]})
+        else:
+            return
+        for i in range(0, len(slots), 10_000):
+            yield pd.DataFrame({"longer": longer, "slot": slots[i : i + 10_000], "bytes": n[i : i + 10_000]})
         self.parts, self.size, self.full = [], 0, False
 
 
 def weigh(texts: Iterator[str], window: int, slots: int, kept: int = KEPT_SLOTS) -> Iterator[pd.DataFrame]:
     """Bytes of strings that pack() would send for each slot of minimisers, and of these with longer runs."""
-    totals = (_Sums(kept), _Sums(kept))
+    totals = (_Sums(slots, kept), _Sums(slots, kept))
     found: tuple[list, list] = ([], [])
     size = 0
 
