@@ -457,6 +457,17 @@ def test_quality_counts_about_so_many_trusted_documents(spark):
     assert all(abs(r.score) < 0.02 for r in quality.score(docs, labels.filter("doc_id < 20"), buckets=1 << 18).collect())
 
 
+def test_quality_counts_every_trusted_document(spark):
+    """More labels of quality 1 than a bounded sample would have, repeated and null ids among the rows."""
+    r, words = random.Random(5), vocabulary(8, 300)
+    data = [(i, " ".join(r.choice(words) for _ in range(60))) for i in range(0, 60_000, 1000)]
+    data += [(1000, data[0][1]), (1000, data[0][1]), (None, data[3][1]), (None, None), (70_000, data[4][1])]
+    labels = spark.range(60_000).selectExpr("id doc_id", "1 quality")
+    got = quality.score(docs_of(spark, data), labels.unionByName(labels)).collect()
+    cells = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, round(r.score, 8)) for r in got)
+    assert cells == brute_quality(data, set(range(60_000)), quality.BUCKETS)
+
+
 def test_toxicity_held_out(spark):
     r, words = random.Random(3), vocabulary(8, 600)
     bad = ["zorble", "zorbling", "idiot", "vexnak"]

@@ -19,8 +19,6 @@ from tidegrain.llm.common import need, quoted, words
 BUCKETS = 16384
 #: Mean log ratio that a document must reach.
 THRESHOLD = -0.08
-#: Trusted documents, about, whose n-grams are counted as the target; their ids are broadcast.
-TRUSTED_ROWS = 20_000
 #: Occurrences added to what a bucket has and to what it should have.
 SMOOTHING = 16.0
 SYMBOLS = "#*$%&|<>"
@@ -73,31 +71,40 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(2)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of which a label has quality 1: all, or about so many of them, chosen by a hash of the id."""
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """Ids of which a label has quality 1: all of them; with ``most``, which no query gives, about so many, chosen by a hash of the id."""
     ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    known = ids.count()
-    if known <= most:
+    known = 0 if most is None else ids.count()
+    if most is None or known <= most:
         return ids
     return ids.filter(F.pmod(F.xxhash64("trusted_id", F.lit("fit")), F.lit(1 << 30)) < F.lit(int(most / known * (1 << 30))))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED_ROWS) -> DataFrame:
+def _slot_counts(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """Occurrences by slot, a bucket of the half that the counts are for."""
+    grams = rows.select((1 - fold_of(F.col("own_id"))).alias("half"), _tokens(F.col("own_text")).alias("k"))
+    slots = grams.select("half", F.explode(ngram_buckets(F.col("k.w"), F.col("k.pairs"), buckets)).alias("bucket")).select((F.col("half") * buckets + F.col("bucket")).cast("long").alias("slot"))
+    return slots.groupBy("slot").agg(F.count("*").alias(name))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``ratios``: for each half and bucket, log((target + S) / (expected + S)).
 
     target counts n-grams of trusted documents, expected is what the raw
     corpus would have among as many, and S (SMOOTHING) shrinks the ratio to 0
     where little is known.  The table of a half is counted in the other half,
-    so no document's own n-grams are in its score.  Raw counts cover all rows.
+    so no document's own n-grams are in its score.  Raw counts cover all rows
+    and target counts all trusted ones; both sides of that join are shuffled
+    by id, so the ids are in no single place.
     Without trusted documents or without any, the ratios are 0.
     """
-    trusted = F.broadcast(trusted_ids(labels, most))
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text")).join(trusted, F.col("own_id") == F.col("trusted_id"), "left")
-    grams = rows.select((1 - fold_of(F.col("own_id"))).alias("half"), F.col("trusted_id").isNotNull().cast("int").alias("t"), _tokens(F.col("own_text")).alias("k"))
-    slots = grams.select("half", "t", F.explode(ngram_buckets(F.col("k.w"), F.col("k.pairs"), buckets)).alias("bucket")).select((F.col("half") * buckets + F.col("bucket")).cast("long").alias("slot"), "t")
-    counts = slots.groupBy("slot").agg(F.sum("t").alias("target"), F.count("*").alias("raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text"))
+    trusted = rows.join(trusted_ids(labels).hint("shuffle_hash"), F.col("own_id") == F.col("trusted_id"), "left_semi")
     # From here on there are 2 * buckets rows, whatever the input.
-    every = docs.sparkSession.range(2 * buckets).withColumnRenamed("id", "slot").join(counts, "slot", "left").na.fill(0)
+    every = docs.sparkSession.range(2 * buckets).withColumnRenamed("id", "slot")
+    for counts in (_slot_counts(trusted, buckets, "target"), _slot_counts(rows, buckets, "raw")):
+        every = every.join(counts, "slot", "left")
+    every = every.na.fill(0)
     half = Window.partitionBy(F.floor(F.col("slot") / buckets))
     target, raw = F.sum("target").over(half), F.sum("raw").over(half)
     expected = F.col("raw") * (target / F.greatest(raw, F.lit(1)))
