@@ -85,3 +85,16 @@ def test_every_stage_takes_awkward_tables(spark, corpus):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == odd.columns
         assert stage(spark, odd.limit(0), folder).count() == 0
+
+
+def test_quality_stage_counts_every_trusted_document(spark, tmp_path):
+    """More labels of quality 1 than a bounded sample would have; a word common among the trusted documents decides."""
+    spark.range(60_000).selectExpr("id doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    good, junk = [f"good{i}" for i in range(30)], [f"junk{i}" for i in range(30)]
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(good) for _ in range(60))) for i in range(0, 60_000, 1000)] + [(70_000 + i, " ".join(r.choice(junk) for _ in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: round(x.score, 8) for x in quality.score(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    brute = {x[0]: x for x in brute_quality(rows, set(range(60_000)), quality.BUCKETS)}
+    assert found == {d: x[8] for d, x in brute.items()}
+    assert {x.doc_id for x in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()} == {d for d, x in brute.items() if x[7]}
