@@ -124,14 +124,19 @@ def weighted_baseline(s: DataFrame, products: DataFrame, year: int, period: int)
     (see rules.agreement()); else the category's most frequent status in that
     place and month, surer the more products it has; else the last status
     before that month of the year, which is hardly sure, or yellow.
+
+    The rows with their categories are written once, as they are read five
+    times.  Files of such rows are far smaller than the rows, so a join that
+    Spark plans by the size of files may send all of them through the driver;
+    therefore no join reads them before they are grouped.
     """
-    s = s.join(products, "product")
+    s = folders.stored(s.join(products.hint("merge"), "product"))
     pair = modal_pair(s, (year - 3, year - 2), (year - 2, year - 1))
     now = s.filter((F.col("ano") == year) & (F.col("periodo") <= period))
     pairs = pair.select(*KEY).unionByName(now.select(*KEY)).distinct()
     places = windows.top_per_key(s.groupBy("category", "region", "uf").agg(F.count("*").alias("n")), ["category", "region"], [F.desc("n"), F.asc("uf")])
     fresh = tables.without(products, pairs, ["product"]).join(places.select("category", "uf"), "category")
-    grid = tables.month_grid(pairs.join(products, "product").unionByName(fresh.select(*KEY, "category")))
+    grid = tables.month_grid(pairs.join(products.hint("merge"), "product").unionByName(fresh.select(*KEY, "category")))
     proxy = s.groupBy("uf", "category", "mes").agg(F.mode("status", deterministic=True).alias("near"), F.least(F.lit(25.0), F.count_distinct("product") * 5.0).alias("near_sure"))
     x = grid.join(pair, [*KEY, "mes"], "left").join(proxy, ["uf", "category", "mes"], "left").withColumn("at", F.lit(year * 12) + F.col("mes"))
     x = windows.asof_before(x, s, KEY, "at", "periodo", "status", "last")
@@ -166,8 +171,7 @@ def j8_weighted_tiers(spark, sf_dir):
     """The whole grid, products without any sale included."""
     f = fact(spark, sf_dir, TIERED).filter(~F.col("product").like(UNSOLD))
     products = table(spark, sf_dir, "part").select(F.expr(TIERED).alias("product"), F.col("p_name").alias("category")).distinct()
-    s = folders.stored(seasonality(f).select(*KEY, "region", "ano", "mes", "periodo", "status"))
-    return weighted_baseline(s, products, YEAR, PERIOD)
+    return weighted_baseline(seasonality(f).select(*KEY, "region", "ano", "mes", "periodo", "status"), products, YEAR, PERIOD)
 
 
 def _mean(df: DataFrame, keys: list[str]) -> DataFrame:
