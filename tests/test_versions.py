@@ -1,11 +1,16 @@
 """Partial refresh, step ledger, and the change log of an ingest."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidegrain.plans import source_queries
 from tidegrain.sources import folders, steps, versions
 from tidegrain.streaming import ingest
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "k long, state string, status string, t long"
 
 
@@ -120,6 +125,27 @@ def test_a_stream_in_parts_by_month_is_audited(spark, tmp_path):
     assert list(map(tuple, ingest.change_log(spark, out).select("k", "before", "after", "batch").collect())) == [(3, "VERDE", "VERMELHO", 1)]
 
 
+def test_a_stream_whose_rows_are_all_rejected_leaves_an_empty_table(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), T._parse_datatype_string(SCHEMA)
+    check = lambda b: (b.filter("t > 9"), b.filter("t <= 9"))
+    assert ingest.current(spark, out, schema).collect() == []
+    for number, rows in enumerate([[(1, "SP", "VERDE", 1)], [(2, "SP", "VERDE", 2)], [(3, "SP", "VERDE", 10)]]):
+        ingest.apply_batch(spark.createDataFrame(rows, schema), number, out, ["k"], ["t"], check, F.col("state"))
+        assert rows_of(ingest.current(spark, out, schema)) == ([(3, "SP", "VERDE", 10)] if number == 2 else [])
+    assert spark.read.parquet(f"{out}/rejected").count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_ingest_query_gives_no_rows_where_all_months_are_rejected(spark, tmp_path):
+    for name in ("region", "nation", "supplier", "part"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    items = spark.read.parquet(f"{SF}/lineitem.parquet")
+    # Each row four times, so every month of a series has four observations at least.
+    items.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(4)]))).drop("copy").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = source_queries.QUERIES["l3_stream_ingest"](spark, str(tmp_path))
+    assert got.columns == ["product", "uf", "periodo", "preco_q"] and got.collect() == []
+
+
 def test_small_files_are_whole(spark, tmp_path):
     folders.write_text(spark, f"{tmp_path}/a/x.json", "one")
     folders.write_text(spark, f"{tmp_path}/a/x.json", "zwei é")

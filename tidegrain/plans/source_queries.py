@@ -134,4 +134,4 @@ def l3_stream_ingest(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     check = lambda b: (b.filter("obs <= 3"), b.filter("obs > 3"))
     ingest.start(stream, f"{folder}/out", f"{folder}/checkpoint", KEY, ["periodo"], check, part=F.col("uf")).awaitTermination()
-    return ingest.current(spark, f"{folder}/out").select(*KEY, "periodo", "preco_q")
+    return ingest.current(spark, f"{folder}/out", rows.schema).select(*KEY, "periodo", "preco_q")

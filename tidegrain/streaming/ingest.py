@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidegrain.operators.tables import prefer
 from tidegrain.operators.windows import top_per_key
@@ -26,9 +27,10 @@ def status_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], status:
     return a.join(b, list(keys)).filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The table of an ingest, none before the first batch."""
-    return versions.read(spark, folder)
+def current(spark: SparkSession, folder: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table of an ingest; while no row has been accepted, no table, or an empty one of a schema that is given."""
+    table = versions.read(spark, folder)
+    return spark.createDataFrame([], schema) if table is None and schema is not None else table
 
 
 def change_log(spark: SparkSession, folder: str) -> DataFrame | None:
