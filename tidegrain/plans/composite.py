@@ -126,19 +126,20 @@ def weighted_baseline(s: DataFrame, products: DataFrame, year: int, period: int)
     before that month of the year, which is hardly sure, or yellow.
 
     The rows with their categories are written once, as they are read five
-    times.  Files of such rows are far smaller than the rows, so a join that
-    Spark plans by the size of files may send all of them through the driver;
-    therefore no join reads them before they are grouped.
+    times.  Files of such rows are far smaller than the rows, and a join that
+    Spark plans by the size of files sends one side through the driver, even
+    if it is grouped before and turns out to be large; so all joins merge.
     """
-    s = folders.stored(s.join(products.hint("merge"), "product"))
+    merge = lambda df: df.hint("merge")
+    s = folders.stored(s.join(merge(products), "product"))
     pair = modal_pair(s, (year - 3, year - 2), (year - 2, year - 1))
     now = s.filter((F.col("ano") == year) & (F.col("periodo") <= period))
     pairs = pair.select(*KEY).unionByName(now.select(*KEY)).distinct()
     places = windows.top_per_key(s.groupBy("category", "region", "uf").agg(F.count("*").alias("n")), ["category", "region"], [F.desc("n"), F.asc("uf")])
-    fresh = tables.without(products, pairs, ["product"]).join(places.select("category", "uf"), "category")
-    grid = tables.month_grid(pairs.join(products.hint("merge"), "product").unionByName(fresh.select(*KEY, "category")))
+    fresh = tables.without(products, merge(pairs), ["product"]).join(merge(places.select("category", "uf")), "category")
+    grid = tables.month_grid(pairs.join(merge(products), "product").unionByName(fresh.select(*KEY, "category")))
     proxy = s.groupBy("uf", "category", "mes").agg(F.mode("status", deterministic=True).alias("near"), F.least(F.lit(25.0), F.count_distinct("product") * 5.0).alias("near_sure"))
-    x = grid.join(pair, [*KEY, "mes"], "left").join(proxy, ["uf", "category", "mes"], "left").withColumn("at", F.lit(year * 12) + F.col("mes"))
+    x = grid.join(merge(pair), [*KEY, "mes"], "left").join(merge(proxy), ["uf", "category", "mes"], "left").withColumn("at", F.lit(year * 12) + F.col("mes"))
     x = windows.asof_before(x, s, KEY, "at", "periodo", "status", "last")
     s1, c1, s2, c2 = (F.col(c) for c in ("s1", "c1", "s2", "c2"))
     own = rules.agreement(s1, s2)
